@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.llm import bpe, tokencount
-from quarry.llm.common import table
+from quarry.llm import bpe, quality, tokencount, toxicity
+from quarry.llm.common import fold_of, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -18,14 +18,30 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digest(bpe.bpe_encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, decode=True))
 
 
+def _scored(scores: DataFrame, threshold: float) -> DataFrame:
+    return scores.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
+    return _scored(quality.score_quality(docs, model), 0.3)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     encoded = bpe.bpe_encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
     return tokencount.suffix_sums(tokencount.length_histogram(bpe.token_counts(encoded)))
 
 
+def op10_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lexicon = toxicity.fit_lexicon(docs, table(spark, sf_dir, "labels"))
+    return _scored(toxicity.score_toxicity(docs, lexicon), 0.5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_byte_bpe": op1_byte_bpe, "op8_token_counts": op8_token_counts}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op8_token_counts, op10_toxicity_lexicon)}
 
 
 def oracle_sql() -> dict[str, str]:
