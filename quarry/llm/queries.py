@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.llm import bpe, chat, packing, quality, tokencount, toxicity
+from quarry.llm import bpe, chat, minhash, packing, quality, tokencount, toxicity
 from quarry.llm.common import fold_of, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -41,6 +41,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS), CONTEXT)
 
 
+def op7_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     encoded = bpe.bpe_encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
@@ -54,7 +58,7 @@ def op10_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op5_chat_format, op6_best_fit_packing, op8_token_counts, op10_toxicity_lexicon)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op5_chat_format, op6_best_fit_packing, op7_setsketch_near_dedup, op8_token_counts, op10_toxicity_lexicon)}
 
 
 def oracle_sql() -> dict[str, str]:
