@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.llm import bpe, chat, minhash, packing, quality, tokencount, toxicity
+from quarry.llm import bpe, chat, embed, minhash, packing, quality, tokencount, toxicity
 from quarry.llm.common import fold_of, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -51,6 +51,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.suffix_sums(tokencount.length_histogram(bpe.token_counts(encoded)))
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lexicon = toxicity.fit_lexicon(docs, table(spark, sf_dir, "labels"))
@@ -58,7 +62,7 @@ def op10_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op5_chat_format, op6_best_fit_packing, op7_setsketch_near_dedup, op8_token_counts, op10_toxicity_lexicon)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op5_chat_format, op6_best_fit_packing, op7_setsketch_near_dedup, op8_token_counts, op9_embedding_near_dedup, op10_toxicity_lexicon)}
 
 
 def oracle_sql() -> dict[str, str]:
