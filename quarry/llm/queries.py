@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.llm import bpe, chat, embed, minhash, packing, quality, tokencount, toxicity
+from quarry.llm import bpe, chat, embed, minhash, packing, quality, tokencount, toxicity, winnow
 from quarry.llm.common import fold_of, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -30,6 +30,14 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality.score_quality(docs, model), 0.3)
 
 
+def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = winnow.compare_edited(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), winnow.as_text(F.col("fingerprint")).alias("fingerprint"),
+        winnow.as_text(F.col("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next",
+    )
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -62,7 +70,7 @@ def op10_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op5_chat_format, op6_best_fit_packing, op7_setsketch_near_dedup, op8_token_counts, op9_embedding_near_dedup, op10_toxicity_lexicon)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_winnowing, op5_chat_format, op6_best_fit_packing, op7_setsketch_near_dedup, op8_token_counts, op9_embedding_near_dedup, op10_toxicity_lexicon)}
 
 
 def oracle_sql() -> dict[str, str]:
