@@ -1,20 +1,70 @@
-"""The corpus pipeline: stages that filter, clean, deduplicate and pack ``documents``."""
+"""The corpus pipeline: stages that filter, clean, deduplicate and pack ``documents``.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return
+the columns of ``documents``. ``run`` writes each stage's rows as Parquet and rereads them for the next.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quarry.llm import linededup, minhash, packing, quality, toxicity
 from quarry.llm.common import table, written
 
-STAGES: list = []
+#: Scores from which a document is rejected as toxic, and below which as poor.
+TOXIC, GOOD = 0.5, 0.3
+TOKENIZER, CONTEXT = "word_bpe_49k.json", 2048
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below TOXIC."""
+    return toxicity.keep_clean(docs, toxicity.fit_lexicon(docs, table(spark, sf_dir, "labels")), TOXIC)
+
+
+def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score is GOOD or more."""
+    return quality.keep_good(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")), GOOD)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without passages that an earlier one has; n_chars follows the text."""
+    return linededup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, likeness 0.8 or more), that of least id.
+
+    Rows without an id, or without words, stay; of rows that repeat id and text one stays.
+    """
+    found = minhash.near_duplicates(docs, words=5, percent=80)
+    gone = found.groupBy("doc_id").agg(F.max("kept").alias("kept")).where(~F.col("kept")).select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document stands in sequences of CONTEXT tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER), CONTEXT)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("quality classifier", drop_poor),
+    ("line dedup", drop_repeated_lines),
+    ("MinHash near-dedup", drop_near_copies),
+    ("best-fit packing", pack_sequences),
+]
+#: SQL can't express learned classifiers and sketches; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written as Parquet and reread by the next."""
+    """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = written(docs, name)
+            docs = written(docs, name.replace(" ", "-"))
     return docs

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.llm import bpe, chat, embed, minhash, packing, quality, tokencount, toxicity, winnow
+from quarry.llm import bpe, chat, embed, linededup, minhash, packing, quality, tokencount, toxicity, winnow
 from quarry.llm.common import fold_of, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -38,6 +38,11 @@ def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.dedup_lines(docs, removed_col="removed_chars").select("doc_id", "text", "removed_chars")
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -70,7 +75,7 @@ def op10_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_winnowing, op5_chat_format, op6_best_fit_packing, op7_setsketch_near_dedup, op8_token_counts, op9_embedding_near_dedup, op10_toxicity_lexicon)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_winnowing, op4_line_dedup, op5_chat_format, op6_best_fit_packing, op7_setsketch_near_dedup, op8_token_counts, op9_embedding_near_dedup, op10_toxicity_lexicon)}
 
 
 def oracle_sql() -> dict[str, str]:
