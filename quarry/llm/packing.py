@@ -15,6 +15,7 @@ import os
 import random
 import unicodedata
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -28,7 +29,9 @@ from quarry.llm.common import written
 #: Mean items in a cell, islands of each cell, epochs between migrations, children of an epoch, individuals kept.
 CELL, ISLANDS, EPOCHS, CHILDREN, KEPT = 4_000, 2, 2, 24, 5
 #: Words whose ids a worker keeps; a bound on memory only.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_200_000
+#: Marks that the pre-tokenizer never joins to the letters before them.
+_MARKS = ",.!?;:*&$#%|()"
 BATCH_CHARS = 1_000_000
 
 
@@ -61,26 +64,39 @@ class WordTokenizer:
             return [w for w in regex.split(r"\s+", text) if w]
         return text.split()
 
+    def _learn(self, words: set[str]) -> None:
+        """Put the ids of new words into the cache; letters before a tail of common marks are a piece of their own."""
+        split = {}
+        for w in words:
+            core = w.rstrip(_MARKS)
+            split[w] = (core, w[len(core) :]) if core.isalpha() else (w, "")
+        new = list({p for parts in split.values() for p in parts if p and p not in self.cache})
+        if new:
+            self.cache.update((p, array("I", e.ids).tobytes()) for p, e in zip(new, self.model.encode_batch(new, add_special_tokens=False)))
+        self.cache.update((w, self.cache[core] + self.cache[tail]) for w, (core, tail) in split.items() if tail)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit."""
         out: list[bytes] = []
-        waiting: list[list[str]] = []
+        waiting: list[tuple[list[str], list[bytes | None]]] = []
         chars = 0
 
         def flush() -> None:
             nonlocal chars
-            if len(self.cache) > CACHED_WORDS:
-                self.cache.clear()
-            new = list({w for ws in waiting for w in ws if w not in self.cache})
-            if new:
-                for w, e in zip(new, self.model.encode_batch(new, add_special_tokens=False)):
-                    self.cache[w] = np.array(e.ids, "<u4").tobytes()
-            out.extend(b"".join(map(self.cache.__getitem__, ws)) for ws in waiting)
+            missing = {w for ws, ids in waiting if None in ids for w, i in zip(ws, ids) if i is None}
+            self._learn(missing)
+            for ws, ids in waiting:
+                if None in ids:
+                    ids = [self.cache[w] if i is None else i for w, i in zip(ws, ids)]
+                out.append(b"".join(ids))
             waiting.clear()
             chars = 0
+            if len(self.cache) > CACHED_WORDS:
+                self.cache.clear()
 
         for t in texts:
-            waiting.append(self.words(t))
+            ws = self.words(t)
+            waiting.append((ws, list(map(self.cache.get, ws))))
             chars += len(t)
             if chars > BATCH_CHARS:
                 flush()
