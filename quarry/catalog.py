@@ -1,9 +1,477 @@
-"""Registered search queries and their DuckDB SQL."""
+"""Registered search queries over the driver's tables, each with its DuckDB SQL."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-def oracle_sql() -> dict:
-    return {}
+from quarry.functions.bm25 import idf
+from quarry.functions.text import query_terms, token_stream, tokens, varint_length
+from quarry.operators import codec, search, shards
+from quarry.operators.index import TextIndex, corpus_stats, doc_stats, postings, term_stats
+from quarry.plans import explain, strategy
+from quarry.sources import generator
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+SHARD = 300
+
+#: Word lists, postings and statistics of ``documents``.
+_P = r"""WITH tok AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+'), lambda w: lower(w)) AS w FROM documents),
+d AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n FROM tok),
+p AS (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM tok) GROUP BY 1, 2),
+t AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+s AS (SELECT (SELECT count(*) FROM d) AS n_docs, (SELECT coalesce(sum(n), 0) FROM d)::BIGINT AS total_len,
+      (SELECT count(*) FROM t) AS n_terms, (SELECT count(*) FROM p) AS n_postings)
+"""
+_Q = """, q(qid, query) AS (VALUES {values}),
+qw AS (SELECT DISTINCT qid, lower(unnest(regexp_extract_all(query, '[\\p{{L}}\\p{{N}}]+'))) AS term FROM q),
+w AS (SELECT qid, qw.term, coalesce(df, 0)::BIGINT AS df, ln((1::FLOAT + ((n_docs::FLOAT - coalesce(df, 0)::FLOAT + 0.5::FLOAT) / (coalesce(df, 0)::FLOAT + 0.5::FLOAT))::FLOAT)::DOUBLE)::FLOAT AS idf,
+      row_number() OVER (PARTITION BY qid ORDER BY coalesce(df, 0), qw.term)::INT AS ord, count(*) OVER (PARTITION BY qid) AS n FROM qw LEFT JOIN t ON t.term = qw.term, s),
+c AS (SELECT qid, p.doc_id, ord, (idf * tf::FLOAT * 2.2::FLOAT / (tf::FLOAT + 1.2::FLOAT * (0.25::FLOAT + (0.75::FLOAT * d.n::FLOAT / (total_len::DOUBLE / n_docs)::FLOAT)::FLOAT)))::FLOAT AS c, w.n
+      FROM p JOIN w ON p.term = w.term JOIN d ON d.doc_id = p.doc_id, s),
+h AS (SELECT qid, doc_id, list_reduce(list(c ORDER BY ord), lambda x, y: (x + y)::FLOAT)::FLOAT AS score FROM c GROUP BY qid, doc_id HAVING count(*) = any_value(n)),
+r AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id)::INT AS rank FROM h)
+"""
+
+
+def _sql_q(*asked: tuple[int, str]) -> str:
+    return _P + _Q.format(values=", ".join(f"({i}::BIGINT, '{q}')" for i, q in asked))
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def _index(spark: SparkSession, sf_dir: str, *asked: str) -> TextIndex:
+    """The index of ``documents``; with queries, of their words alone, which narrows it inside each row."""
+    only = sorted({w for q in asked for w in search.words_of(spark, q)}) if asked else None
+    return TextIndex.build(_docs(spark, sf_dir), only)
+
+
+def _table(spark: SparkSession, *asked: tuple[int, str]) -> DataFrame:
+    return spark.createDataFrame(list(asked), "qid long, query string")
+
+
+def _shown(score: str = "score"):
+    return F.round(F.col(score).cast("double"), 4).alias("score")
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+# Tokenizer and scalar functions
+
+
+@query(_P + "SELECT doc_id, array_to_string(w, ' ') AS words, len(w)::BIGINT AS n FROM tok")
+def tokenize(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", tokens("text").alias("w")).select("doc_id", F.array_join("w", " ").alias("words"), F.size("w").cast("long").alias("n"))
+
+
+@query(_P + "SELECT doc_id, pos - 1 AS pos, w[pos] AS term FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS pos FROM tok)")
+def token_stream_all(spark, sf_dir):
+    return token_stream(_docs(spark, sf_dir)).select("doc_id", F.col("pos").cast("long").alias("pos"), "term")
+
+
+@query(r"SELECT item_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda w: lower(w)))), ' ') AS terms FROM benchmark")
+def query_terms_all(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return rows.select("item_id", F.array_join(query_terms("text"), " ").alias("terms"))
+
+
+@query(_P + "SELECT term, df, round(ln((1::FLOAT + ((n_docs::FLOAT - df::FLOAT + 0.5::FLOAT) / (df::FLOAT + 0.5::FLOAT))::FLOAT)::DOUBLE)::FLOAT::DOUBLE, 4) AS idf FROM t, s")
+def term_idf(spark, sf_dir):
+    index = _index(spark, sf_dir)
+    n = F.broadcast(index.corpus.select("n_docs"))
+    return index.terms.crossJoin(n).select("term", "df", F.round(idf(F.col("n_docs"), F.col("df")).cast("double"), 4).alias("idf"))
+
+
+@query("SELECT doc_id, n_chars, CASE WHEN n_chars < 128 THEN 1 WHEN n_chars < 16384 THEN 2 WHEN n_chars < 2097152 THEN 3 WHEN n_chars < 268435456 THEN 4 ELSE 5 END AS bytes FROM documents")
+def varint_len(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", "n_chars", varint_length(F.col("n_chars")).alias("bytes"))
+
+
+# Index build
+
+
+@query(_P + "SELECT term, doc_id, tf FROM p")
+def postings_all(spark, sf_dir):
+    return postings(_docs(spark, sf_dir)).select("term", "doc_id", F.col("tf").cast("long").alias("tf"))
+
+
+@query(_P + "SELECT doc_id, n AS len FROM d")
+def doc_lengths(spark, sf_dir):
+    return doc_stats(_docs(spark, sf_dir)).select("doc_id", F.col("len").cast("long").alias("len"))
+
+
+@query(_P + "SELECT term FROM t")
+def vocabulary(spark, sf_dir):
+    return postings(_docs(spark, sf_dir)).select("term").distinct()
+
+
+@query(_P + "SELECT n_docs, total_len, round(CASE WHEN n_docs > 0 THEN total_len / n_docs ELSE 0 END, 6) AS avg_len, n_terms, n_postings FROM s")
+def corpus_statistics(spark, sf_dir):
+    index = _index(spark, sf_dir)
+    return index.corpus.withColumn("avg_len", F.round("avg_len", 6))
+
+
+@query(_P + "SELECT term, df FROM t")
+def term_df(spark, sf_dir):
+    return term_stats(postings(_docs(spark, sf_dir)))
+
+
+@query(_P + "SELECT doc_id, tf FROM p WHERE term = 'thanes'")
+def term_lookup(spark, sf_dir):
+    return _index(spark, sf_dir, "thanes").lookup("thanes").select("doc_id", F.col("tf").cast("long").alias("tf"))
+
+
+@query(_P + "SELECT doc_id, tf FROM p WHERE term = 'the' AND doc_id IN (SELECT doc_id FROM p WHERE term = 'of')")
+def tf_for_docs(spark, sf_dir):
+    index = _index(spark, sf_dir, "the of")
+    return index.tf_for("the", index.lookup("of").select("doc_id")).select("doc_id", F.col("tf").cast("long").alias("tf"))
+
+
+# Codec
+
+_GAPS = _P + """, g0 AS (SELECT term, doc_id, tf, row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1 AS pos, lag(doc_id) OVER (PARTITION BY term ORDER BY doc_id) AS prior FROM p),
+g AS (SELECT term, doc_id, tf, pos, pos // 64 AS block, CASE WHEN pos % 64 = 0 THEN 0 ELSE doc_id - prior END AS gap FROM g0),
+b AS (SELECT term, block, min(doc_id) AS first_doc, count(*) AS entries, sum((CASE WHEN gap < 128 THEN 1 WHEN gap < 16384 THEN 2 WHEN gap < 2097152 THEN 3 WHEN gap < 268435456 THEN 4 ELSE 5 END)
+      + (CASE WHEN tf < 128 THEN 1 WHEN tf < 16384 THEN 2 WHEN tf < 2097152 THEN 3 ELSE 4 END))::BIGINT AS bytes FROM g GROUP BY 1, 2)
+"""
+
+
+@query(_GAPS + "SELECT term, doc_id, pos::BIGINT AS pos, block::BIGINT AS block, gap::BIGINT AS gap FROM g")
+def posting_gaps(spark, sf_dir):
+    return codec.gaps(postings(_docs(spark, sf_dir))).select("term", "doc_id", F.col("pos").cast("long").alias("pos"), F.col("block").cast("long").alias("block"), "gap")
+
+
+@query(_P + "SELECT term, doc_id, tf FROM p")
+def gap_decode_roundtrip(spark, sf_dir):
+    return codec.decode(codec.gaps(postings(_docs(spark, sf_dir)))).select("term", "doc_id", F.col("tf").cast("long").alias("tf"))
+
+
+@query(_GAPS + "SELECT term, block::BIGINT AS block, first_doc, coalesce(sum(bytes) OVER (PARTITION BY term ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM b")
+def skip_table(spark, sf_dir):
+    return codec.skip_table(codec.gaps(postings(_docs(spark, sf_dir)))).select("term", F.col("block").cast("long").alias("block"), "first_doc", "offset")
+
+
+@query(_GAPS + "SELECT count(DISTINCT term) AS lists, count(*) AS blocks, sum(bytes + 8)::BIGINT AS bytes FROM b")
+def posting_bytes(spark, sf_dir):
+    return codec.used_bytes(codec.gaps(postings(_docs(spark, sf_dir))))
+
+
+# Conjunctions
+
+
+def _and_sql(*words: str) -> str:
+    listed = ", ".join(f"'{w}'" for w in words)
+    return _P + f"SELECT doc_id FROM p WHERE term IN ({listed}) GROUP BY doc_id HAVING count(*) = {len(words)}"
+
+
+@query(_and_sql("the", "of"))
+def and_merge(spark, sf_dir):
+    return search.boolean_chain(_index(spark, sf_dir, "the of"), "the of", hint="merge")
+
+
+@query(_and_sql("the", "thanes"))
+def and_gallop(spark, sf_dir):
+    return search.boolean_probe(_index(spark, sf_dir, "the thanes"), "the thanes")
+
+
+@query(_and_sql("the", "of", "thanes"))
+def and_adaptive(spark, sf_dir):
+    return search.boolean_chain(_index(spark, sf_dir, "the of thanes"), "the of thanes")
+
+
+@query(_and_sql("the", "of", "in"))
+def and_having(spark, sf_dir):
+    return search.boolean(_index(spark, sf_dir, "the of in"), "the of in")
+
+
+@query(_and_sql("the", "of", "in"))
+def and_semi_chain(spark, sf_dir):
+    return search.boolean_chain(_index(spark, sf_dir, "the of in"), "the of in")
+
+
+@query(_and_sql("the", "of", "in"))
+def and_intersect(spark, sf_dir):
+    return search.boolean_intersect(_index(spark, sf_dir, "the of in"), "the of in")
+
+
+for _name, _text in {"boolean_and_1term": "thered", "boolean_and_2term": "The, OF!", "boolean_and_3term": "the of and of", "boolean_unknown": "the zebra"}.items():
+    _words = {"boolean_and_1term": ("thered",), "boolean_and_2term": ("the", "of"), "boolean_and_3term": ("the", "of", "and"), "boolean_unknown": ("the", "zebra")}[_name]
+
+    def _boolean(spark, sf_dir, _text=_text):
+        return search.boolean(_index(spark, sf_dir, _text), _text)
+
+    _boolean.__name__ = _name
+    query(_and_sql(*_words))(_boolean)
+
+
+@query(_P + "SELECT doc_id FROM p WHERE false")
+def boolean_empty(spark, sf_dir):
+    return search.boolean(_index(spark, sf_dir, "!!!"), "!!!")
+
+
+@query(_P + """SELECT a.term AS term_a, b.term AS term_b, a.df AS df_a, b.df AS df_b, CASE WHEN greatest(a.df, b.df) >= 16 * least(a.df, b.df) THEN 'Gallop' ELSE 'Merge' END AS algorithm
+FROM t a, t b WHERE a.term IN ('the', 'of', 'in', 'thanes', 'enerha') AND b.term IN ('the', 'of', 'in', 'thanes', 'enerha') AND a.term < b.term""")
+def strategy_choice(spark, sf_dir):
+    t = _index(spark, sf_dir, "the of in thanes enerha").terms
+    a, b = t.select(F.col("term").alias("term_a"), F.col("df").alias("df_a")), t.select(F.col("term").alias("term_b"), F.col("df").alias("df_b"))
+    return a.join(b, F.col("term_a") < F.col("term_b")).withColumn("algorithm", strategy.algorithm(F.col("df_a"), F.col("df_b")))
+
+
+# Ranking
+
+
+def _ranked_sql(asked: str, k: int) -> str:
+    return _sql_q((0, asked)) + f"SELECT doc_id, round(score::DOUBLE, 4) AS score FROM r WHERE rank <= {k}"
+
+
+@query(_ranked_sql("the of", 10))
+def bm25_top10(spark, sf_dir):
+    return search.search_ranked(_index(spark, sf_dir, "the of"), "the of", 10).select("doc_id", _shown())
+
+
+for _name, (_text, _k) in {
+    "bm25_top10_common_mid": ("in thanes", 10), "bm25_top10_common_rare": ("the enerha", 10), "bm25_top10_mid_mid": ("thanes thered", 10), "bm25_top10_two_common_rare": ("the of thered", 10),
+    "bm25_top10_repeated": ("the THE of of, the", 10), "bm25_unknown_term": ("the zebra", 10), "bm25_all_sorted": ("the of", 1_000_000), "bm25_k0": ("the of", 0), "bm25_punctuation": ("?!", 10),
+}.items():
+
+    def _ranked(spark, sf_dir, _text=_text, _k=_k):
+        return search.search_ranked(_index(spark, sf_dir, _text), _text, _k).select("doc_id", _shown())
+
+    _ranked.__name__ = _name
+    query(_ranked_sql(_text, _k))(_ranked)
+
+_CLASSES = ((0, "the of"), (1, "in thanes"), (2, "the enerha"), (3, "thanes thered"), (4, "the of thered"), (5, "the zebra"), (6, "in in"), (7, "and, to."))
+
+
+@query(_sql_q(*_CLASSES) + 'SELECT qid, term, df, round(idf::DOUBLE, 4) AS idf, ord FROM w')
+def weigh_query(spark, sf_dir):
+    return search.weigh(_index(spark, sf_dir, *(q for _, q in _CLASSES)), _table(spark, *_CLASSES)).select("qid", "term", "df", F.round(F.col("idf").cast("double"), 4).alias("idf"), "ord")
+
+
+@query(_sql_q(*_CLASSES) + "SELECT qid, doc_id, round(score::DOUBLE, 4) AS score FROM h")
+def bm25_scores_all(spark, sf_dir):
+    return search.scores(_index(spark, sf_dir, *(q for _, q in _CLASSES)), _table(spark, *_CLASSES)).select("qid", "doc_id", _shown())
+
+
+@query(_sql_q(*_CLASSES) + "SELECT qid, rank, doc_id, round(score::DOUBLE, 4) AS score FROM r WHERE rank <= 10")
+def batch_bm25_top10(spark, sf_dir):
+    return search.search_batch(_index(spark, sf_dir, *(q for _, q in _CLASSES)), _table(spark, *_CLASSES), 10).select("qid", "rank", "doc_id", _shown())
+
+
+@query(_sql_q(*_CLASSES) + "SELECT q.qid, count(h.doc_id) AS matched FROM q LEFT JOIN h ON h.qid = q.qid GROUP BY q.qid")
+def bm25_matched(spark, sf_dir):
+    return search.matched(_index(spark, sf_dir, *(q for _, q in _CLASSES)), _table(spark, *_CLASSES))
+
+
+_BENCH_Q = _P + ", q AS (SELECT item_id AS qid, text AS query FROM benchmark),\n" + _Q.split("),\n", 1)[1].replace("{{", "{").replace("}}", "}")
+
+
+@query(_BENCH_Q + "SELECT qid, rank, doc_id, round(score::DOUBLE, 4) AS score FROM r WHERE rank <= 10")
+def benchmark_search(spark, sf_dir):
+    """Every benchmark text as a query of all its words."""
+    asked = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    return search.search_batch(_index(spark, sf_dir), asked, 10).select("qid", "rank", "doc_id", _shown())
+
+
+# Shards
+
+
+@query(f"SELECT doc_id // {SHARD} AS shard, count(*) AS docs FROM documents GROUP BY 1")
+def docs_per_shard(spark, sf_dir):
+    return shards.docs_per_shard(_docs(spark, sf_dir), SHARD).select(F.col("shard").cast("long").alias("shard"), "docs")
+
+
+_BASES = f"""WITH b0 AS (SELECT doc_id // {SHARD} AS shard, count(*) AS docs FROM documents GROUP BY 1),
+b AS (SELECT shard, docs, coalesce(sum(docs) OVER (ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS base FROM b0)
+"""
+
+
+@query(_BASES + "SELECT shard, docs, base FROM b")
+def shard_bases(spark, sf_dir):
+    return shards.bases(shards.docs_per_shard(_docs(spark, sf_dir), SHARD)).select(F.col("shard").cast("long").alias("shard"), "docs", "base")
+
+
+@query(_BASES + "SELECT doc_id, shard, doc_id - base AS local_id FROM documents ASOF JOIN b ON documents.doc_id >= b.base")
+def shard_of_doc(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    return shards.locate(docs.select("doc_id"), shards.bases(shards.docs_per_shard(docs, SHARD))).select("doc_id", F.col("shard").cast("long").alias("shard"), "local_id")
+
+
+@query(_P + "SELECT doc_id, 'd' || doc_id AS name FROM p WHERE term = 'thanes'")
+def doc_name_join(spark, sf_dir):
+    index = _index(spark, sf_dir, "thanes")
+    return index.lookup("thanes").select("doc_id").join(index.docs.select("doc_id", "name"), "doc_id")
+
+
+@query(_sql_q((0, "the of")) + f"SELECT doc_id // {SHARD} AS shard, row_number() OVER (PARTITION BY doc_id // {SHARD} ORDER BY score DESC, doc_id)::INT AS rank, doc_id, round(score::DOUBLE, 4) AS score FROM h QUALIFY rank <= 3")
+def per_shard_topk(spark, sf_dir):
+    return shards.per_shard_topk(_index(spark, sf_dir, "the of"), _table(spark, (0, "the of")), 3, SHARD).select(F.col("shard").cast("long").alias("shard"), "rank", "doc_id", _shown())
+
+
+@query(_ranked_sql("the of", 10))
+def sharded_bm25_top10(spark, sf_dir):
+    best = shards.per_shard_topk(_index(spark, sf_dir, "the of"), _table(spark, (0, "the of")), 10, SHARD)
+    return shards.merge_topk(best, 10).select("doc_id", _shown())
+
+
+@query(_P + "SELECT term, df FROM t")
+def merged_df(spark, sf_dir):
+    return shards.merged_df(postings(_docs(spark, sf_dir)), SHARD)
+
+
+_DFS = ((0, [1000]), (1, [50, 30000]), (2, [500, 30000]), (3, [20000, 50000]), (4, [50, 20000]), (5, [50, 20000, 50000]), (6, []))
+_WORK = """WITH RECURSIVE v(id, dfs) AS (VALUES {}),
+f(id, dfs, k, c, w) AS (SELECT id, dfs, 1, dfs[1]::DOUBLE, dfs[1]::DOUBLE FROM v WHERE len(dfs) > 0
+  UNION ALL SELECT id, dfs, k + 1, c * dfs[k + 1] / 100000.0::DOUBLE, w + least(dfs[k + 1]::DOUBLE, c * 64) / 5.0::DOUBLE FROM f WHERE k < len(dfs)),
+e AS (SELECT v.id, coalesce(max(w), 0)::DOUBLE AS work FROM v LEFT JOIN f ON f.id = v.id GROUP BY 1)
+""".format(", ".join(f"({i}::BIGINT, {d}::INT[])" for i, d in _DFS))
+
+
+def _work(spark) -> DataFrame:
+    rows = spark.createDataFrame(list(_DFS), "id long, dfs array<int>")
+    return rows.select("id", strategy.estimated_work(F.col("dfs"), F.lit(100_000.0)).alias("work"))
+
+
+@query(_WORK + "SELECT id, round(work, 3) AS work FROM e")
+def estimated_work(spark, sf_dir):
+    return _work(spark).select("id", F.round("work", 3).alias("work"))
+
+
+@query(_WORK + "SELECT id, CASE WHEN work >= 1500 THEN 'Parallel' ELSE 'Sequential' END AS fan_out FROM e")
+def fanout_decision(spark, sf_dir):
+    return _work(spark).select("id", strategy.fan_out(F.col("work"), 4).alias("fan_out"))
+
+
+# Explain
+
+
+@query(_sql_q(*_CLASSES) + "SELECT qid, ord, term, df, round(idf::DOUBLE, 4) AS idf FROM w")
+def explain_terms(spark, sf_dir):
+    return explain.terms(_index(spark, sf_dir, *(q for _, q in _CLASSES)), _table(spark, *_CLASSES)).withColumn("idf", F.round(F.col("idf").cast("double"), 4))
+
+
+_STEPS = """, x AS (SELECT w.qid, p.doc_id, ord, row_number() OVER (PARTITION BY w.qid, p.doc_id ORDER BY ord) AS k FROM w JOIN p ON p.term = w.term),
+y AS (SELECT qid, doc_id, count(*) FILTER (ord = k) AS depth FROM x GROUP BY 1, 2),
+z AS (SELECT w.qid, w.ord, w.term, w.df, count(y.doc_id) FILTER (y.depth >= w.ord) AS survivors FROM w LEFT JOIN y ON y.qid = w.qid GROUP BY 1, 2, 3, 4),
+u AS (SELECT *, lag(survivors) OVER (PARTITION BY qid ORDER BY ord) AS candidates FROM z)
+SELECT qid, ord - 1 AS step, term, candidates, df, CASE WHEN greatest(candidates, df) >= 16 * least(candidates, df) THEN 'Gallop' ELSE 'Merge' END AS algorithm, survivors AS matched FROM u WHERE ord > 1 AND candidates > 0"""
+
+
+@query(_sql_q(*_CLASSES) + _STEPS)
+def explain_steps(spark, sf_dir):
+    return explain.steps(_index(spark, sf_dir, *(q for _, q in _CLASSES)), _table(spark, *_CLASSES))
+
+
+@query()
+def explain_text(spark, sf_dir):
+    said = explain.text(_index(spark, sf_dir, "the of thanes"), "the of thanes", 10)
+    return spark.createDataFrame([(i, x) for i, x in enumerate(said.split("\n"))], "line int, text string")
+
+
+# Vocabulary by document count, percentiles
+
+
+def _by_df(terms: DataFrame) -> DataFrame:
+    """(term, df, rank) by falling df, then term, from 0. Ranks come from counts of each df, so that no task sorts the vocabulary."""
+    per = terms.groupBy("df").agg(F.count("*").alias("n"))
+    base = per.select("df", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("df")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    own = Window.partitionBy("df", "head").orderBy("term")
+    heads = terms.withColumn("head", F.substring("term", 1, 2))
+    sizes = heads.groupBy("df", "head").agg(F.count("*").alias("n"))
+    start = sizes.select("df", "head", F.coalesce(F.sum("n").over(Window.partitionBy("df").orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    ranked = heads.withColumn("k", F.row_number().over(own) - 1).join(start, ["df", "head"]).join(base, "df")
+    return ranked.select("term", "df", (F.col("base") + F.col("start") + F.col("k")).cast("long").alias("rank"))
+
+
+_RANKED = _P + ", k AS (SELECT term, df, row_number() OVER (ORDER BY df DESC, term) - 1 AS rank FROM t)\n"
+
+
+@query(_RANKED + "SELECT term, df, rank FROM k")
+def terms_by_df(spark, sf_dir):
+    return _by_df(term_stats(postings(_docs(spark, sf_dir))))
+
+
+@query(_RANKED + "SELECT term, df FROM k WHERE rank < 20")
+def top_terms(spark, sf_dir):
+    return term_stats(postings(_docs(spark, sf_dir))).orderBy(F.desc("df"), "term").limit(20)
+
+
+@query(_RANKED + """, m AS (SELECT count(*) AS n FROM k)
+SELECT term, df, CASE WHEN rank < floor(0.002 * n) THEN 'common' WHEN rank >= floor(0.02 * n) AND rank < floor(0.1 * n) THEN 'mid' ELSE 'rare' END AS class FROM k, m
+WHERE rank < floor(0.002 * n) OR (rank >= floor(0.02 * n) AND rank < floor(0.1 * n)) OR (rank >= floor(0.3 * n) AND rank < floor(0.6 * n))""")
+def term_buckets(spark, sf_dir):
+    terms = term_stats(postings(_docs(spark, sf_dir)))
+    rows = _by_df(terms).crossJoin(F.broadcast(terms.agg(F.count("*").alias("n"))))
+    at = lambda share: F.floor(F.lit(share) * F.col("n"))
+    r = F.col("rank")
+    kind = F.when(r < at(0.002), "common").when((r >= at(0.02)) & (r < at(0.1)), "mid").when((r >= at(0.3)) & (r < at(0.6)), "rare")
+    return rows.select("term", "df", kind.alias("class")).where("class IS NOT NULL")
+
+
+@query(_RANKED + ", m AS (SELECT greatest(count(*) // 500, 1) AS step FROM k) SELECT term, df, rank FROM k, m WHERE rank % step = 0")
+def term_sample(spark, sf_dir):
+    """Every (n / 500)th word by document count: a sampling operator."""
+    terms = term_stats(postings(_docs(spark, sf_dir)))
+    step = terms.agg(F.greatest(F.floor(F.count("*") / 500), F.lit(1)).alias("step"))
+    return _by_df(terms).crossJoin(F.broadcast(step)).where(F.col("rank") % F.col("step") == 0).select("term", "df", "rank")
+
+
+@query(_RANKED + "SELECT target, arg_min(term, (abs(df - target), rank)) AS term, arg_min(df, (abs(df - target), rank)) AS df FROM k, (SELECT unnest([1, 10, 50, 200]) AS target) WHERE rank > 0 GROUP BY target")
+def closest_df(spark, sf_dir):
+    rows = _by_df(term_stats(postings(_docs(spark, sf_dir)))).where("rank > 0")
+    near = lambda c: [F.min_by(c, F.struct(F.abs(F.col("df") - t), F.col("rank"))) for t in (1, 10, 50, 200)]
+    one = rows.agg(*[x.alias(f"t{i}") for i, x in enumerate(near(F.struct("term", "df")))])
+    found = F.array(*[F.struct(F.lit(t).alias("target"), F.col(f"t{i}.term").alias("term"), F.col(f"t{i}.df").alias("df")) for i, t in enumerate((1, 10, 50, 200))])
+    return one.select(F.inline(found))
+
+
+@query(_P + """, n AS (SELECT target, term, df, row_number() OVER (PARTITION BY target ORDER BY abs(df - target), term) AS k FROM t, (SELECT unnest([5, 50, 500]) AS target))
+SELECT target, count(*) AS n, floor(avg(df))::BIGINT AS mean_df, min(term) AS first_term FROM n WHERE k <= 20 GROUP BY target""")
+def nearest_df_terms(spark, sf_dir):
+    terms = term_stats(postings(_docs(spark, sf_dir)))
+    each = None
+    for t in (5, 50, 500):
+        best = terms.withColumn("target", F.lit(t)).orderBy(F.abs(F.col("df") - t), "term").limit(20)
+        each = best if each is None else each.unionByName(best)
+    return each.groupBy("target").agg(F.count("*").alias("n"), F.floor(F.avg("df")).alias("mean_df"), F.min("term").alias("first_term"))
+
+
+@query("SELECT quantile_disc(n_chars, 0.5) AS p50, quantile_disc(n_chars, 0.95) AS p95, quantile_disc(n_chars, 0.99) AS p99 FROM documents")
+def latency_percentiles(spark, sf_dir):
+    """Nearest-rank percentiles, here of text lengths."""
+    at = [F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY n_chars)").cast("long").alias(f"p{p}") for p in (50, 95, 99)]
+    return _docs(spark, sf_dir).agg(*at)
+
+
+# Generator
+
+
+@query("SELECT id, round(sum(1.0::DOUBLE / (id + 1)) OVER (ORDER BY id) / sum(1.0::DOUBLE / (id + 1)) OVER (), 6) AS cdf FROM (SELECT range AS id FROM range(5000))")
+def zipf_cdf(spark, sf_dir):
+    return generator.zipf_cdf(spark, 5000).select("id", F.round("cdf", 6).alias("cdf"))
+
+
+@query()
+def generated_corpus(spark, sf_dir):
+    return generator.generate(spark, 500)

@@ -1 +1 @@
-
+"""Column functions: tokenizer, ranking arithmetic."""

@@ -1 +1 @@
-
+"""Index, search, sharding and codec operators."""

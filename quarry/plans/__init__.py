@@ -1 +1 @@
-
+"""Query plans: strategies and explanations."""

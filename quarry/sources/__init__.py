@@ -1 +1 @@
-
+"""Corpus sources and the corpus generator."""

@@ -1 +1 @@
-
+"""Streaming index maintenance."""
