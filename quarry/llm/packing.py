@@ -10,6 +10,7 @@ islands exchange their elites. Bins that a cell leaves open meet in further roun
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import random
@@ -94,13 +95,20 @@ class WordTokenizer:
             if len(self.cache) > CACHED_WORDS:
                 self.cache.clear()
 
-        for t in texts:
-            ws = self.words(t)
-            waiting.append((ws, list(map(self.cache.get, ws))))
-            chars += len(t)
-            if chars > BATCH_CHARS:
-                flush()
-        flush()
+        collects = gc.isenabled()
+        gc.disable()  # nothing here has cycles, and the cache is large to walk through
+        try:
+            for t in texts:
+                ws = self.words(t)
+                waiting.append((ws, list(map(self.cache.get, ws))))
+                chars += len(t)
+                if chars > BATCH_CHARS:
+                    flush()
+            flush()
+        finally:
+            if collects:
+                gc.freeze()
+                gc.enable()
         return out
 
 
