@@ -141,12 +141,12 @@ def _terms(folded: str) -> Iterator[tuple[str, int, int]]:
 def _entries(rows: DataFrame) -> dict[str, float]:
     """Entries that mark toxic documents of the sample, with log odds as weights."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs: dict[str, list[int]] = defaultdict(lambda: [0, 0])
         near: dict[str, set[int]] = defaultdict(set)
         kinds: dict[str, set[int]] = defaultdict(set)
         for b in batches:  # a partition of a bounded sample
-            for label, text in zip(b["label"], b["text"]):
+            for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 seen = set()
                 for term, ctx, own in _terms(fold(text)):
                     if term not in seen:
@@ -155,11 +155,12 @@ def _entries(rows: DataFrame) -> dict[str, float]:
                     if label and len(near[term]) < 64:
                         near[term].add(ctx)
                         kinds[term].add(own)
-        yield pd.DataFrame({"term": list(docs), "clean": [d[0] for d in docs.values()], "toxic": [d[1] for d in docs.values()], "near": [list(near.get(t, ())) for t in docs], "kinds": [list(kinds.get(t, ())) for t in docs]})
+        made = [pa.array(list(docs), pa.string()), *(pa.array([d[j] for d in docs.values()], pa.int64()) for j in (0, 1)), *(pa.array([list(x.get(t, ())) for t in docs], pa.list_(pa.int64())) for x in (near, kinds))]
+        yield pa.RecordBatch.from_arrays(made, names=["term", "clean", "toxic", "near", "kinds"])
 
     several = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
     got = (
-        rows.mapInPandas(count, "term string, clean long, toxic long, near array<long>, kinds array<long>")
+        rows.mapInArrow(count, "term string, clean long, toxic long, near array<long>, kinds array<long>")
         .groupBy("term")
         .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), several("near").alias("contexts"), several("kinds").alias("words"))
     )
@@ -226,8 +227,10 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         for b in batches:
             yield pd.DataFrame({"label": b["label"], "x": [full.strength(t) for t in b["text"]]})
 
-    got = rows.mapInPandas(measure, "label int, x double").orderBy("x", "label").collect()
+    got = rows.mapInPandas(measure, "label int, x double").collect()
     y, x = np.array([r["label"] for r in got], float), np.array([r["x"] for r in got], float)
+    order = np.lexsort((y, x))  # sums don't depend on the order of arrival
+    y, x = y[order], x[order]
     if not len(y) or y.min() == y.max() or not full.weights:
         return Lexicon(full.weights, full.exceptions, 4.0, -4.0)
     slope, bias = _curve(x, y)
@@ -251,10 +254,11 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", te
 
 def keep_clean(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows, with the columns of ``docs``, whose score is below ``threshold``."""
-    at = docs.columns.index(text_col)
+    names, at = docs.columns, docs.columns.index(text_col)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # names with dots or in two cases are no obstacle then
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array([lexicon.score(str(t) if t is not None else "") < threshold for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
