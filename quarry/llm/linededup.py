@@ -97,7 +97,10 @@ def _chunks(rows: DataFrame) -> DataFrame:
 
 
 def _first_texts(rows: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(hash, first, before, after): lines of each first occurrence, and those of the chunks on either side."""
+    """(hash, first, before, after): lines of each first occurrence, and those of two chunks on either side.
+
+    Two, as the first boundary inside a passage depends on the line before it: there may be one in one occurrence only.
+    """
     ids = written(firsts.groupBy("key").agg(F.collect_list(F.struct("hash", "k")).alias("want")), "line-firsts")
     keys = ids.select("key")
     if ids.count() <= BROADCAST_ROWS:  # then only the texts that are wanted are shuffled
@@ -113,7 +116,7 @@ def _first_texts(rows: DataFrame, firsts: DataFrame) -> DataFrame:
                 for w in want:
                     k = w["k"]
                     part = lambda j: found[starts[j] : ends[j]] if 0 <= j < len(ends) else []
-                    out.append((w["hash"], part(k), part(k - 1), part(k + 1)))
+                    out.append((w["hash"], part(k), part(k - 2) + part(k - 1), part(k + 1) + part(k + 2)))
             cols = list(zip(*out)) if out else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.list_(pa.string())) for c in cols[1:])], names=["hash", "first", "before", "after"])
 
