@@ -31,7 +31,8 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without passages that an earlier one has; n_chars follows the text."""
-    return linededup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("bigint"))
+    out = linededup.dedup_lines(docs)
+    return out.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else out
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +42,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     found = minhash.near_duplicates(docs, words=5, percent=80)
     gone = found.groupBy("doc_id").agg(F.max("kept").alias("kept")).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    names = docs.columns
+    own, text = f"c{names.index('doc_id')}", f"c{names.index('text')}"
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    return plain.join(gone.withColumnRenamed("doc_id", own), own, "left_anti").dropDuplicates([own, text]).toDF(*names)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
