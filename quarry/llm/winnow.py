@@ -2,7 +2,7 @@
 
 A text is a sequence of units: runs of letters and digits, runs of other signs,
 and single characters of scripts written without spaces. Each K consecutive units are a gram with
-a 64-bit hash; of every W consecutive grams the one of least order value is selected, the rightmost
+a 33-bit hash; of every W consecutive grams the one of least hash is selected, the rightmost
 of several. Two texts that share K + W - 1 units in a row share a selected gram there.
 """
 
@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 K, W = 5, 4
 #: Longest run that is one unit; longer ones are cut, so that a text without spaces has units too.
 RUN = 24
-_SOLO = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
-UNITS = rf"[{_SOLO}]|[\p{{L}}\p{{M}}\p{{N}}&&[^{_SOLO}]]{{1,{RUN}}}|[^\s\p{{L}}\p{{M}}\p{{N}}]{{1,{RUN}}}"
-#: Bits of a gram's place within a window's key; the order value has the other 33 of 63.
+#: Letters and digits up to U+0DFF, whose scripts part words; runs of ASCII signs; any other character alone.
+UNITS = rf"[a-z0-9\u00AA-\u0DFF]{{1,{RUN}}}|[!-/:-@\[-`{{-~]{{1,{RUN}}}|[^\s\p{{Z}}]"
+#: Bits of a gram's place within a window's key; its hash has the other 33 of 63. No text has more units: a string has less than 2 ** 31 bytes.
 _PLACE = 30
 #: Documents of a bucket of the order by id, and most buckets.
 BUCKET, MOST_BUCKETS = 500, 65_536
@@ -48,21 +48,19 @@ def winnow(df: DataFrame, text_col: str, out_col: str, k: int = K, w: int = W) -
     keep = [F.col(f"`{c}`") for c in df.columns]
     units = F.regexp_extract_all(F.lower(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))), F.lit(UNITS), F.lit(0))
     df = df.select(*keep, F.transform(units, lambda u: F.xxhash64(u)).alias("__w_h"))
-    h = F.col("__w_h")
+    h, last = F.col("__w_h"), (1 << _PLACE) - 1
     gram = lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)])  # noqa: E731  beyond the end: null, which leaves the hash as it is
-    grams = F.when(F.size(h) > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - k, F.lit(0))), gram)).otherwise(F.array().cast("array<bigint>"))
-    df = df.select(*keep, grams.alias("__w_g"))
-    g, last = F.col("__w_g"), (1 << _PLACE) - 1
-    df = df.select(*keep, g, F.transform(g, lambda x, i: F.shiftleft(F.shiftrightunsigned(x, 64 - 63 + _PLACE), _PLACE).bitwiseOR((F.lit(last) - i).cast("bigint"))).alias("__w_k"))
+    key = lambda i: F.shiftleft(F.shiftrightunsigned(gram(i), 64 - 63 + _PLACE), _PLACE).bitwiseOR((F.lit(last) - i).cast("bigint"))
+    keys = F.when(F.size(h) > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - k, F.lit(0))), key)).otherwise(F.array().cast("array<bigint>"))
     now = "__w_k"
+    df = df.select(*keep, keys.alias(now))
     for shift, name in _window_least("__w_m", w):
-        df = df.select(*keep, g, _least_with(F.col(now), shift).alias(name))
+        df = df.select(*keep, _least_with(F.col(now), shift).alias(name))
         now = name
     a = F.col(now)
-    df = df.select(*keep, g, F.array_distinct(F.slice(a, F.lit(1), F.greatest(F.size(a) - (w - 1), F.least(F.size(a), F.lit(1))))).alias("__w_s"))
-    place = F.transform(F.col("__w_s"), lambda x: (F.lit(last) - x.bitwiseAND(F.lit(last).cast("bigint"))).cast("int"))
-    df = df.select(*keep, g, place.alias("__w_p"))
-    return df.select(*keep, F.transform(F.col("__w_p"), lambda p: F.struct(F.get(g, p).alias("hash"), p.alias("pos"))).alias(out_col))
+    chosen = F.array_distinct(F.slice(a, F.lit(1), F.greatest(F.size(a) - (w - 1), F.least(F.size(a), F.lit(1)))))
+    place = lambda x: (F.lit(last) - x.bitwiseAND(F.lit(last).cast("bigint"))).cast("int")
+    return df.select(*keep, F.transform(chosen, lambda x: F.struct(F.shiftrightunsigned(x, _PLACE).alias("hash"), place(x).alias("pos"))).alias(out_col))
 
 
 def as_text(fingerprint: Column) -> Column:
