@@ -146,3 +146,24 @@ def test_strategy_and_work(spark):
     cases = {(1000,): 1000, (50, 30000): 690, (500, 30000): 6500, (20000, 50000): 30000, (50, 20000): 690, (50, 20000, 50000): 818, (): 0}
     rows = spark.createDataFrame([(list(k),) for k in cases], "d array<int>").select(strategy.estimated_work(F.col("d"), F.lit(100000.0)).alias("w")).collect()
     assert [r["w"] for r in rows] == pytest.approx(list(cases.values()))
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    import io
+
+    from quarry import __main__ as cli
+
+    (tmp_path / "c.tsv").write_text("".join(f"d{i}\trust {'go ' * i}\n" for i in range(13)))
+    path = str(tmp_path / "c.tsv")
+    assert cli.main([path, "rust"]) == 0
+    whole = capsys.readouterr().out.splitlines()
+    assert len(whole) == 11 and whole[0].endswith("d0") and whole[-1] == "... and 3 more"
+    cli.main([path, "--shards", "3", "rust"])
+    assert capsys.readouterr().out.splitlines() == whole
+    cli.main([path, "explain", "zebra"])
+    assert "in no document" in (said := capsys.readouterr().out) and said.endswith("No results.\n")
+    monkeypatch.setattr("sys.stdin", io.StringIO("\n:explain go rust\nzebra\n"))
+    cli.main([path])
+    assert "Words, rarest first" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        cli.main([path, "--shards", "0", "x"])
