@@ -70,7 +70,11 @@ def chunk(text: str) -> tuple[list[str], list[int], list[int]]:
     found = lines(text)
     h = line_hashes(found)
     ends = boundaries(h)
-    return found, ends, [xxhash.xxh3_64_intdigest(h[a:b].tobytes()) >> 1 for a, b in zip([0, *ends], ends)]
+    return found, ends, _hashes(h, ends)
+
+
+def _hashes(h: np.ndarray, ends: list[int]) -> list[int]:
+    return [xxhash.xxh3_64_intdigest(h[a:b].tobytes()) >> 1 for a, b in zip([0, *ends], ends)]
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -80,59 +84,107 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _chunks(rows: DataFrame) -> DataFrame:
-    """(doc, key, k, hash) of every chunk."""
+    """(doc, key, k, hash, prior, later, many) of every chunk: 32 bits of the hashes of the lines before and after it, and whether it has several lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, ks, hs = [], [], []
+            at, ks, hs, near, many = [], [], [], [], []
             for i, t in enumerate(b.column(2).to_pylist()):
-                _, _, h = chunk(t)
-                at += [i] * len(h)
-                ks += range(len(h))
-                hs += h
+                found = lines(t)
+                h = line_hashes(found)
+                ends = boundaries(h)
+                if not ends:
+                    continue
+                starts = np.array([0, *ends[:-1]])
+                stops = np.array(ends)
+                side = np.concatenate([h, [np.uint64(len(t))]])  # the ends of two texts aren't alike
+                near.append(np.stack([(side[starts - 1] & np.uint64(0x7FFFFFFF)).astype(np.int32), (side[stops] & np.uint64(0x7FFFFFFF)).astype(np.int32)]))
+                many.append(stops - starts > 1)
+                hs += _hashes(h, ends)
+                at += [i] * len(ends)
+                ks += range(len(ends))
             idx = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(idx), b.column(1).take(idx), pa.array(ks, pa.int32()), pa.array(hs, pa.int64())], names=["doc", "key", "k", "hash"])
+            sides = np.concatenate(near, axis=1) if near else np.zeros((2, 0), np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(idx), b.column(1).take(idx), pa.array(ks, pa.int32()), pa.array(hs, pa.int64()), pa.array(sides[0]), pa.array(sides[1]), pa.array(np.concatenate(many) if many else np.zeros(0, bool))],
+                names=["doc", "key", "k", "hash", "prior", "later", "many"],
+            )
+
+    return rows.mapInArrow(run, "doc bigint, key bigint, k int, hash bigint, prior int, later int, many boolean")
+
+
+def _only(rows: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+    """Rows that have (or, left_anti, lack) one of the keys; these are broadcast if a count shows them to be few."""
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, on, how)
+
+
+def _repeats(chunks: DataFrame) -> DataFrame:
+    """(key, found array<struct<k, fkey, fk>>): for each text its chunks that occur earlier, and where first.
+
+    Single lines whose neighbours differ from the first occurrence's can't grow into a match and are left out.
+    """
+    often = written(chunks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "line-often")
+    some = written(_only(chunks, often, "hash"), "line-repeated")
+    firsts = some.groupBy("hash").agg(F.min(F.struct("doc", "key", "k", "prior", "later")).alias("f"))
+    again = some.join(firsts, "hash").where(((F.col("key") != F.col("f.key")) | (F.col("k") != F.col("f.k"))) & (F.col("many") | (F.col("prior") == F.col("f.prior")) | (F.col("later") == F.col("f.later"))))
+    return again.groupBy("key").agg(F.collect_set(F.struct("k", F.col("f.key").alias("fkey"), F.col("f.k").alias("fk"))).alias("found"))
+
+
+def runs_of(found: list[dict]) -> list[tuple[int, int, int, int]]:
+    """(first key, first chunk there, first chunk here, number of chunks): neighbouring matches made one."""
+    out: list[list[int]] = []
+    for m in sorted(found, key=lambda m: (m["fkey"], m["fk"] - m["k"], m["k"])):
+        if out and out[-1][0] == m["fkey"] and out[-1][1] + out[-1][3] == m["fk"] and out[-1][2] + out[-1][3] == m["k"]:
+            out[-1][3] += 1
+        else:
+            out.append([m["fkey"], m["fk"], m["k"], 1])
+    return [tuple(x) for x in out]
+
+
+def _runs(repeats: DataFrame) -> DataFrame:
+    """(fkey, fk, key, k, n) of each run of matches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(f, fk, key, k, n) for key, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for f, fk, k, n in runs_of(found)]
+            cols = list(zip(*rows)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()))], names=["fkey", "fk", "key", "k", "n"])
 
-    return rows.mapInArrow(run, "doc bigint, key bigint, k int, hash bigint")
+    return repeats.mapInArrow(run, "fkey bigint, fk int, key bigint, k int, n int")
 
 
-def _first_texts(rows: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(hash, first, before, after): lines of each first occurrence, and those of two chunks on either side.
+def _first_texts(rows: DataFrame, runs: DataFrame) -> DataFrame:
+    """(fkey, fk, n, first, before, after): lines of each run's first occurrence, and those of two chunks on either side.
 
-    Two, as the first boundary inside a passage depends on the line before it: there may be one in one occurrence only.
+    Two, as the first boundary inside a passage depends on the line before it: there may be one in one occurrence
+    only. A text is read once for all its runs, and a run that many texts share is made once.
     """
-    ids = written(firsts.groupBy("key").agg(F.collect_list(F.struct("hash", "k")).alias("want")), "line-firsts")
-    keys = ids.select("key")
-    if ids.count() <= BROADCAST_ROWS:  # then only the texts that are wanted are shuffled
-        rows = rows.join(F.broadcast(keys), "key", "left_semi")
-    rows = rows.join(ids, "key")
+    want = written(runs.select("fkey", "fk", "n").distinct().groupBy("fkey").agg(F.collect_list(F.struct("fk", "n")).alias("want")), "line-firsts")
+    texts = _only(rows.select(F.col("key").alias("fkey"), "text"), want.select("fkey"), "fkey").dropDuplicates(["fkey"]).join(want, "fkey")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[tuple] = []
-            for t, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for f, t, want_ in zip(*(b.column(j).to_pylist() for j in range(3))):
                 found, ends, _ = chunk(t)
                 starts = [0, *ends]
-                for w in want:
-                    k = w["k"]
-                    part = lambda j: found[starts[j] : ends[j]] if 0 <= j < len(ends) else []
-                    out.append((w["hash"], part(k), part(k - 2) + part(k - 1), part(k + 1) + part(k + 2)))
-            cols = list(zip(*out)) if out else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.list_(pa.string())) for c in cols[1:])], names=["hash", "first", "before", "after"])
+                part = lambda i, j: found[starts[max(i, 0)] : starts[min(j, len(ends))]]
+                out = [(f, w["fk"], w["n"], part(w["fk"], w["fk"] + w["n"]), part(w["fk"] - 2, w["fk"]), part(w["fk"] + w["n"], w["fk"] + w["n"] + 2)) for w in want_]
+                cols = list(zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.int32()) for c in cols[1:3]), *(pa.array(c, pa.list_(pa.string())) for c in cols[3:])], names=["fkey", "fk", "n", "first", "before", "after"])
 
-    return rows.select("text", "want").mapInArrow(run, "hash bigint, first array<string>, before array<string>, after array<string>").dropDuplicates(["hash"])
+    return texts.select("fkey", "text", "want").mapInArrow(run, "fkey bigint, fk int, n int, first array<string>, before array<string>, after array<string>")
 
 
 def _same(a: str, b: str) -> bool:
     return a == b or a.strip() == b.strip()
 
 
-def removed_lines(found: list[str], ends: list[int], matches: list[tuple[int, list[str], list[str], list[str]]]) -> list[bool]:
-    """Which lines go, given (chunk, lines of its first occurrence, lines before and after that)."""
+def removed_lines(found: list[str], ends: list[int], matches: list[tuple[int, int, list[str], list[str], list[str]]]) -> list[bool]:
+    """Which lines go, given (chunk, number of chunks, lines of the first occurrence, lines before and after that)."""
     starts, gone = [0, *ends], [False] * len(found)
     spans: list[tuple[int, int]] = []
-    for k, first, before, after in matches:
-        a, b = starts[k], ends[k]
+    for k, n, first, before, after in matches:
+        a, b = starts[k], starts[k + n]
         if b - a != len(first) or not all(map(_same, found[a:b], first)):
             continue
         for x in reversed(before):
@@ -144,9 +196,8 @@ def removed_lines(found: list[str], ends: list[int], matches: list[tuple[int, li
                 break
             b += 1
         spans.append((a, b))
-    spans.sort()
     joined: list[list[int]] = []
-    for a, b in spans:
+    for a, b in sorted(spans):
         if joined and a <= joined[-1][1]:
             joined[-1][1] = max(joined[-1][1], b)
         else:
@@ -164,36 +215,42 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wrapped lines and LEAST_WORDS words or more once extended. Lines are compared without
     the white space around them. A text that is repeated as a whole becomes empty. Null texts stay null,
     rows with a null id come first in the order, and rows that repeat both id and text are
-    treated alike. Ids must be integers. Texts without a match are unchanged to the byte.
-    ``removed_col`` adds the number of code points that went. Helper columns begin with ``__line_``.
+    treated alike. Ids must be integers. Texts without a match are unchanged to the byte, and where
+    the texts with one are few (see BROADCAST_ROWS), only those are shuffled.
+    ``removed_col`` adds the number of code points that went.
     """
     rows = _keyed(docs, id_col, text_col)
-    chunks = written(_chunks(rows), "line-chunks")
-    place = F.struct("doc", "key", "k")
-    firsts = chunks.groupBy("hash").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f != l")
-    firsts = written(firsts.select("hash", F.col("f.key").alias("key"), F.col("f.k").alias("k")), "line-repeated")
-    texts = written(_first_texts(rows, firsts), "line-texts")
-    again = chunks.join(firsts.select("hash", F.col("key").alias("fkey"), F.col("k").alias("fk")), "hash").where((F.col("key") != F.col("fkey")) | (F.col("k") != F.col("fk")))
-    found = again.join(texts, "hash").groupBy("key").agg(F.collect_set(F.struct("k", "first", "before", "after")).alias("__line_found"))
+    runs = written(_runs(_repeats(written(_chunks(rows), "line-chunks"))), "line-runs")
+    matches = runs.join(_first_texts(rows, runs), ["fkey", "fk", "n"]).groupBy("key").agg(F.collect_list(F.struct("k", "n", "first", "before", "after")).alias("__line_found"))
+    matches = matches.withColumnRenamed("key", "__line_key")
+    keys = runs.select(F.col("key").alias("__line_key")).distinct()
     names, at = docs.columns, docs.columns.index(text_col)
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # names with dots or in two cases are no obstacle then
     own = F.xxhash64(f"c{names.index(id_col)}", F.coalesce(F.col(f"c{at}").cast("string"), F.lit("")))
-    both = plain.withColumn("__line_key", own).join(found.withColumnRenamed("key", "__line_key"), "__line_key", "left").select(*plain.columns, "__line_found")
-    schema = plain.schema if removed_col is None else plain.withColumn("removed", F.lit(0).cast("bigint")).schema
+    keyed = plain.withColumn("__line_key", own)
+    out_names = [*names, removed_col] if removed_col is not None else names
+    lost = lambda df: df.withColumn("removed", F.lit(0).cast("bigint")) if removed_col is not None else df
+    schema = lost(plain).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts_, lost = b.column(at).to_pylist(), [0] * b.num_rows
-            for i, matches in enumerate(b.column(len(names)).to_pylist()):
-                if matches:
-                    kept, ends, _ = chunk(texts_[i])
-                    gone = removed_lines(kept, ends, [(m["k"], m["first"], m["before"], m["after"]) for m in matches])
+            texts, gone_chars = b.column(at).to_pylist(), [0] * b.num_rows
+            for i, found in enumerate(b.column(len(names)).to_pylist()):
+                if found:
+                    kept, ends, _ = chunk(texts[i])
+                    gone = removed_lines(kept, ends, [(m["k"], m["n"], m["first"], m["before"], m["after"]) for m in found])
                     if any(gone):
-                        left_ = "".join(x for x, g in zip(kept, gone) if not g)
-                        lost[i], texts_[i] = len(texts_[i]) - len(left_), left_
-            cols = [b.column(j) if j != at else pa.array(texts_, b.column(at).type) for j in range(len(names))]
+                        left = "".join(x for x, g in zip(kept, gone) if not g)
+                        gone_chars[i], texts[i] = len(texts[i]) - len(left), left
+            cols = [b.column(j) if j != at else pa.array(texts, b.column(at).type) for j in range(len(names))]
             if removed_col is not None:
-                cols.append(pa.array(lost, pa.int64()))
+                cols.append(pa.array(gone_chars, pa.int64()))
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return both.mapInArrow(run, schema).toDF(*names, *([removed_col] if removed_col is not None else []))
+    few = keys.count() <= BROADCAST_ROWS
+    touched = keyed.join(F.broadcast(keys), "__line_key", "left_semi") if few else keyed
+    both = touched.join(matches, "__line_key", "left").select(*plain.columns, "__line_found")
+    out = both.mapInArrow(run, schema)
+    if few:
+        out = out.unionByName(lost(keyed.join(F.broadcast(keys), "__line_key", "left_anti").drop("__line_key")))
+    return out.toDF(*out_names)
