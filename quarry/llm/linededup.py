@@ -11,11 +11,11 @@ has several lines and enough words it is removed. The first occurrence always st
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -28,87 +28,92 @@ WINDOW, SPREAD, LONGEST = 2, 3, 16
 LEAST_LINES, LEAST_WORDS = 2, 20
 #: Keys that may be broadcast (16 bytes each); beyond it they are shuffled.
 BROADCAST_ROWS = 1_000_000
-_LINE = regex.compile(r"[^\n]*?(?:[.!?]+[ \t]+|\n)|[^\n]+$")
+_END = re.compile(rb"[.!?]+[ \t]+|\n")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Rows of a batch that are cut into lines at a time.
+SLICE = 256
 
 
-def lines(text: str) -> list[str]:
-    """The wrapped lines; joined they are the text."""
-    return _LINE.findall(text)
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint64(29))
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
 
 
-def boundaries(hashes: np.ndarray) -> list[int]:
+def lines(raw: bytes) -> list[bytes]:
+    """The wrapped lines of a UTF-8 text; joined they are the text."""
+    stops = [m.end() for m in _END.finditer(raw)]
+    if not stops or stops[-1] < len(raw):
+        stops.append(len(raw))
+    return [raw[a:b] for a, b in zip([0, *stops], stops)] if raw else []
+
+
+def boundaries(hashes: np.ndarray) -> np.ndarray:
     """Where chunks end, as counts of lines from the start; the last is the number of lines."""
     n = len(hashes)
     if not n:
-        return []
+        return np.zeros(0, np.int64)
     rolled = hashes.copy()
     for back in range(1, WINDOW):
         rolled[back:] = rolled[back:] * _STEP + hashes[:-back]
-    rolled ^= rolled >> np.uint64(29)
-    rolled *= np.uint64(0xBF58476D1CE4E5B9)
-    rolled ^= rolled >> np.uint64(32)
-    ends = (np.flatnonzero(rolled % np.uint64(SPREAD) != 0) + 1).tolist()
-    out, start = [], 0
-    for e in [*ends, n]:
-        while e - start > LONGEST:
-            start += LONGEST
-            out.append(start)
-        if e > start:
-            out.append(e)
-            start = e
-    return out
-
-
-def line_hashes(found: list[str]) -> np.ndarray:
+    ends = np.flatnonzero(_mix(rolled) % np.uint64(SPREAD) != 0) + 1
+    if not len(ends) or ends[-1] != n:
+        ends = np.append(ends, n)
+    sizes = np.diff(ends, prepend=0)
+    if sizes.max() > LONGEST:
+        ends = np.concatenate([[*range(e - s + LONGEST, e, LONGEST), e] for e, s in zip(ends.tolist(), sizes.tolist())])
+    return ends.astype(np.int64)
+
+
+def line_hashes(found: list[bytes]) -> np.ndarray:
     """Hashes of the lines without the white space around them, so that a line is the same before a newline and before a space."""
-    return np.fromiter((xxhash.xxh3_64_intdigest(x.strip().encode("utf-8", "surrogatepass")) for x in found), np.uint64, len(found))
+    return np.fromiter((xxhash.xxh3_64_intdigest(x.strip()) for x in found), np.uint64, len(found))
 
 
-def chunk(text: str) -> tuple[list[str], list[int], list[int]]:
-    """(lines, chunk ends, 63-bit chunk hashes)."""
-    found = lines(text)
-    h = line_hashes(found)
-    ends = boundaries(h)
-    return found, ends, _hashes(h, ends)
+def chunk_hashes(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """63-bit hashes of the chunks, from the hashes of their lines and the lines' places in them."""
+    if not len(ends):
+        return np.zeros(0, np.int64)
+    starts = np.concatenate([[0], ends[:-1]])
+    place = np.arange(len(h)) - np.repeat(starts, ends - starts)
+    total = np.add.reduceat(_mix(h + (place.astype(np.uint64) + np.uint64(1)) * _STEP), starts)
+    return (_mix(total) >> np.uint64(1)).astype(np.int64)
 
 
-def _hashes(h: np.ndarray, ends: list[int]) -> list[int]:
-    return [xxhash.xxh3_64_intdigest(h[a:b].tobytes()) >> 1 for a, b in zip([0, *ends], ends)]
+def chunk(raw: bytes) -> tuple[list[bytes], list[int]]:
+    """(lines, chunk ends)."""
+    found = lines(raw)
+    return found, boundaries(line_hashes(found)).tolist()
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     own = F.col(f"`{id_col}`")
-    return docs.select(own.cast("bigint").alias("doc"), F.xxhash64(own, text).alias("key"), text.alias("text"))
+    return docs.select(own.cast("bigint").alias("doc"), F.xxhash64(own, text).alias("key"), text.cast("binary").alias("text"))
 
 
 def _chunks(rows: DataFrame) -> DataFrame:
     """(doc, key, k, hash, prior, later, many) of every chunk: 32 bits of the hashes of the lines before and after it, and whether it has several lines."""
 
+    def made(b: pa.RecordBatch) -> pa.RecordBatch:
+        at, k, hashes, prior, later, many = ([] for _ in range(6))
+        for i, raw in enumerate(b.column(2).to_pylist()):
+            h = line_hashes(lines(raw))
+            ends = boundaries(h)
+            if len(ends):
+                starts = np.concatenate([[0], ends[:-1]])
+                side = np.append(h, np.uint64(len(raw))).astype(np.int64) & 0x7FFFFFFF  # the ends of two texts aren't alike
+                for column, values in ((at, np.full(len(ends), i)), (k, np.arange(len(ends), dtype=np.int32)), (hashes, chunk_hashes(h, ends)), (prior, side[starts - 1]), (later, side[ends]), (many, ends - starts > 1)):
+                    column.append(values)
+        whole = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
+        idx = pa.array(whole(at, np.int64))
+        cols = [b.column(0).take(idx), b.column(1).take(idx), *(pa.array(whole(c, t)) for c, t in ((k, np.int32), (hashes, np.int64), (prior, np.int32), (later, np.int32), (many, bool)))]
+        return pa.RecordBatch.from_arrays(cols, names=["doc", "key", "k", "hash", "prior", "later", "many"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, ks, hs, near, many = [], [], [], [], []
-            for i, t in enumerate(b.column(2).to_pylist()):
-                found = lines(t)
-                h = line_hashes(found)
-                ends = boundaries(h)
-                if not ends:
-                    continue
-                starts = np.array([0, *ends[:-1]])
-                stops = np.array(ends)
-                side = np.concatenate([h, [np.uint64(len(t))]])  # the ends of two texts aren't alike
-                near.append(np.stack([(side[starts - 1] & np.uint64(0x7FFFFFFF)).astype(np.int32), (side[stops] & np.uint64(0x7FFFFFFF)).astype(np.int32)]))
-                many.append(stops - starts > 1)
-                hs += _hashes(h, ends)
-                at += [i] * len(ends)
-                ks += range(len(ends))
-            idx = pa.array(at, pa.int64())
-            sides = np.concatenate(near, axis=1) if near else np.zeros((2, 0), np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(idx), b.column(1).take(idx), pa.array(ks, pa.int32()), pa.array(hs, pa.int64()), pa.array(sides[0]), pa.array(sides[1]), pa.array(np.concatenate(many) if many else np.zeros(0, bool))],
-                names=["doc", "key", "k", "hash", "prior", "later", "many"],
-            )
+            for i in range(0, b.num_rows, SLICE):
+                yield made(b.slice(i, SLICE))
 
     return rows.mapInArrow(run, "doc bigint, key bigint, k int, hash bigint, prior int, later int, many boolean")
 
@@ -165,21 +170,21 @@ def _first_texts(rows: DataFrame, runs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for f, t, want_ in zip(*(b.column(j).to_pylist() for j in range(3))):
-                found, ends, _ = chunk(t)
+                found, ends = chunk(t)
                 starts = [0, *ends]
                 part = lambda i, j: found[starts[max(i, 0)] : starts[min(j, len(ends))]]
                 out = [(f, w["fk"], w["n"], part(w["fk"], w["fk"] + w["n"]), part(w["fk"] - 2, w["fk"]), part(w["fk"] + w["n"], w["fk"] + w["n"] + 2)) for w in want_]
                 cols = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.int32()) for c in cols[1:3]), *(pa.array(c, pa.list_(pa.string())) for c in cols[3:])], names=["fkey", "fk", "n", "first", "before", "after"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.int32()) for c in cols[1:3]), *(pa.array(c, pa.list_(pa.binary())) for c in cols[3:])], names=["fkey", "fk", "n", "first", "before", "after"])
 
-    return texts.select("fkey", "text", "want").mapInArrow(run, "fkey bigint, fk int, n int, first array<string>, before array<string>, after array<string>")
+    return texts.select("fkey", "text", "want").mapInArrow(run, "fkey bigint, fk int, n int, first array<binary>, before array<binary>, after array<binary>")
 
 
-def _same(a: str, b: str) -> bool:
+def _same(a: bytes, b: bytes) -> bool:
     return a == b or a.strip() == b.strip()
 
 
-def removed_lines(found: list[str], ends: list[int], matches: list[tuple[int, int, list[str], list[str], list[str]]]) -> list[bool]:
+def removed_lines(found: list[bytes], ends: list[int], matches: list[tuple[int, int, list[bytes], list[bytes], list[bytes]]]) -> list[bool]:
     """Which lines go, given (chunk, number of chunks, lines of the first occurrence, lines before and after that)."""
     starts, gone = [0, *ends], [False] * len(found)
     spans: list[tuple[int, int]] = []
@@ -232,20 +237,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lost = lambda df: df.withColumn("removed", F.lit(0).cast("bigint")) if removed_col is not None else df
     schema = lost(plain).schema
 
+    def cleaned(b: pa.RecordBatch) -> pa.RecordBatch:
+        texts, gone_chars = b.column(at).to_pylist(), [0] * b.num_rows
+        for i, found in enumerate(b.column(len(names)).to_pylist()):
+            if found:
+                kept, ends = chunk(texts[i].encode())
+                gone = removed_lines(kept, ends, [(m["k"], m["n"], m["first"], m["before"], m["after"]) for m in found])
+                if any(gone):
+                    left = b"".join(x for x, g in zip(kept, gone) if not g).decode()
+                    gone_chars[i], texts[i] = len(texts[i]) - len(left), left
+        cols = [b.column(j) if j != at else pa.array(texts, b.column(at).type) for j in range(len(names))]
+        return pa.RecordBatch.from_arrays([*cols, pa.array(gone_chars, pa.int64())] if removed_col is not None else cols, names=schema.names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, gone_chars = b.column(at).to_pylist(), [0] * b.num_rows
-            for i, found in enumerate(b.column(len(names)).to_pylist()):
-                if found:
-                    kept, ends, _ = chunk(texts[i])
-                    gone = removed_lines(kept, ends, [(m["k"], m["n"], m["first"], m["before"], m["after"]) for m in found])
-                    if any(gone):
-                        left = "".join(x for x, g in zip(kept, gone) if not g)
-                        gone_chars[i], texts[i] = len(texts[i]) - len(left), left
-            cols = [b.column(j) if j != at else pa.array(texts, b.column(at).type) for j in range(len(names))]
-            if removed_col is not None:
-                cols.append(pa.array(gone_chars, pa.int64()))
-            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+            for i in range(0, b.num_rows, SLICE):
+                yield cleaned(b.slice(i, SLICE))
 
     few = keys.count() <= BROADCAST_ROWS
     touched = keyed.join(F.broadcast(keys), "__line_key", "left_semi") if few else keyed
