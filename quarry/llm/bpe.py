@@ -10,6 +10,7 @@ advances a merge at a time; long ones have a tree of their own.
 from __future__ import annotations
 
 import base64
+import zlib
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
@@ -18,6 +19,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from quarry.llm.common import kept, pick
+
 _NONE = np.iinfo(np.int64).max
 #: Longest piece, in bytes, that shares an array of trees with others.
 FOREST_BYTES = 64
@@ -207,16 +210,9 @@ class ByteBPE:
         return b"".join(map(self.token.__getitem__, ids.tolist()))
 
 
-_MADE: dict[int, tuple[bytes, ByteBPE]] = {}
-
-
 def encoder(raw: bytes, pattern: str) -> ByteBPE:
     """The worker's encoder for these ranks, with its cache; made once."""
-    key = hash((raw, pattern))
-    if key not in _MADE:
-        _MADE.clear()
-        _MADE[key] = (raw, ByteBPE.parse(raw, pattern))
-    return _MADE[key][1]
+    return kept(f"bpe {zlib.crc32(raw)} {pattern}", lambda: ByteBPE.parse(raw, pattern))
 
 
 def read_ranks(path: str) -> bytes:
@@ -234,6 +230,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     driver (under 1 MB) and broadcast. Arrow batches are bounded in bytes, and a
     text of any length is split as a stream.
     """
+    docs = pick(docs, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
     kind = docs.schema[id_col].dataType.simpleString()
 

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.common import shuffle_width
+from quarry.llm.common import pick, shuffle_width
 
 
 @dataclass(frozen=True)
@@ -61,6 +61,7 @@ def format_chat(turns: DataFrame, template: Template = Template()) -> DataFrame:
     turn may stand there. Null texts and roles count as empty; repeated rows are turns of their own. seq
     counts a conversation's segments from 0. No rows give no rows.
     """
+    turns = pick(turns, "conv_id", "turn", "role", "text")
     kinds = {f.name: f.dataType.simpleString() for f in turns.schema if f.name in ("conv_id", "turn")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

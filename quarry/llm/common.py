@@ -3,15 +3,44 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
+#: Bytes of an Arrow batch. Batches stand in memory several times over, in the JVM and in Python, for each running task.
+BATCH_BYTES = "8m"
+_KEPT: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from task to task, such as a cache: one thing at a time, as workers serve many operators."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def reachable(spark: SparkSession) -> None:
+    """Bound Arrow batches, and put the folder that holds this package on the path of Python workers started from now on.
+
+    The path matters where the session began without it; on a cluster the folder must be there, or the package installed.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -33,6 +62,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     process ends, or at ``release``.
     """
     spark = df.sparkSession
+    reachable(spark)
     path = f"{shared_dir(spark)}/quarry-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.append((spark, path))
@@ -54,6 +84,12 @@ def release() -> None:
 atexit.register(release)
 
 
+def pick(df: DataFrame, *names: str) -> DataFrame:
+    """The columns of just these names; others go, those too whose names differ in case only."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.select(*[F.col(f"c{df.columns.index(n)}").alias(n) for n in names])
+
+
 def fold_of(doc_id) -> F.Column:
     """crc32 of the id's decimal text modulo 5; fold 0 is held out from every fit. Null ids are held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5, F.lit(0))

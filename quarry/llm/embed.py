@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.common import shuffle_width, written
+from quarry.llm.common import pick, shuffle_width, written
 from quarry.llm.graph import components
 
 #: Vectors that centroids are fitted on, vectors that a cell should have, most cells, members of a block.
@@ -180,7 +180,7 @@ def near_vectors(rows: DataFrame, threshold: float = 0.93, id_col: str = "vec_id
     ``reach`` is how far from the plane between two cells vectors still visit the
     other; None is the distance at which no pair can be lost. Less visits fewer cells and may lose pairs.
     """
-    spark = rows.sparkSession
+    spark, rows = rows.sparkSession, pick(rows, id_col, vector_col, label_col)
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) if reach is None else reach
     vectors = written(_vectors(rows, id_col, vector_col, label_col), "embed-vectors")
     classes = vectors.where("digest IS NOT NULL").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"), F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("vec").alias("vec"))

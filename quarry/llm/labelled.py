@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.common import fold_of
+from quarry.llm.common import fold_of, pick
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -15,6 +15,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int],
     the largest counts, of repeated documents the least text; null labels, ids and texts
     that have no partner are left out. The sample's ids (bounded by ``most``) are broadcast.
     """
+    docs, labels = pick(docs, id_col, text_col), pick(labels, id_col, label)
     known = (
         labels.select(F.col(id_col).alias("doc_id"), F.col(label).cast("int").alias("label"))
         .where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id")) != 0))

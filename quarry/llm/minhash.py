@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quarry.llm.common import shuffle_width, written
+from quarry.llm.common import kept, pick, shuffle_width, written
 from quarry.llm.graph import components
 
 #: Registers, those of a band, and the scale b, a of the registers. 40 bands of 6: a pair of likeness 0.8 shares none with probability 5e-6.
@@ -33,7 +33,7 @@ DEVIATIONS = 4.7
 #: Members of a bucket that a task compares with as many others at a time.
 BLOCK = 512
 #: Words whose hashes a worker keeps; a bound on memory only.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 400_000
 #: Ids that may be broadcast (8 bytes each); beyond it they are shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -49,9 +49,6 @@ class _Words(dict):
         return h
 
 
-_WORDS = _Words()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(30))
     x = x * np.uint64(0xBF58476D1CE4E5B9)
@@ -69,7 +66,7 @@ def shingles(raw: bytes, k: int) -> np.ndarray:
     words = raw.lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(kept("shingles", _Words).__getitem__, words), np.uint64, len(words))
     n = max(1, len(h) - k + 1)
     out = np.zeros(n, np.uint64)
     for i in range(min(k, len(h))):
@@ -271,13 +268,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     component's least, and a row with a null id is never a component's name (its component is null if
     no other row has its set). No rows give no rows; other columns are left out.
     """
-    spark, threshold = docs.sparkSession, percent / 100
+    spark, threshold, docs = docs.sparkSession, percent / 100, pick(docs, id_col, text_col)
     width = shuffle_width(spark)
     rows = written(_sketches(docs, id_col, text_col, words), "minhash-rows")
     classes = rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs")).where("rep IS NOT NULL")
     classes = written(classes, "minhash-classes")
     bands = classes.select("rep", _bands().alias("key"))
-    shared = bands.groupBy("key").agg(F.min("rep").alias("least"), F.count("*").alias("members")).where("members > 1").select("key", "least")
+    shared = written(bands.groupBy("key").agg(F.min("rep").alias("least"), F.count("*").alias("members")).where("members > 1").select("key", "least"), "minhash-shared")  # so that the join can split a hot band
     members = written(bands.join(shared, "key"), "minhash-members")
     stars = members.where(F.col("rep") != F.col("least")).select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
     first = written(_confirm(written(_pass_sketches(stars, classes, threshold), "minhash-stars"), classes, docs, id_col, text_col, words, percent), "minhash-links")

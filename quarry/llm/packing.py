@@ -25,12 +25,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quarry.llm.common import written
+from quarry.llm.common import kept, pick, written
 
 #: Mean items in a cell, islands of each cell, epochs between migrations, children of an epoch, individuals kept.
 CELL, ISLANDS, EPOCHS, CHILDREN, KEPT = 4_000, 2, 2, 24, 5
 #: Words whose ids a worker keeps; a bound on memory only.
-CACHED_WORDS = 1_200_000
+CACHED_WORDS = 900_000
 #: Marks that the pre-tokenizer never joins to the letters before them.
 _MARKS = ",.!?;:*&$#%|()"
 BATCH_CHARS = 1_000_000
@@ -112,15 +112,8 @@ class WordTokenizer:
         return out
 
 
-_MADE: dict[int, tuple[str, WordTokenizer]] = {}
-
-
 def _tokenizer(spec: str) -> WordTokenizer:
-    key = hash(spec)
-    if key not in _MADE:
-        _MADE.clear()
-        _MADE[key] = (spec, WordTokenizer(spec))
-    return _MADE[key][1]
+    return kept(f"words {zlib.crc32(spec.encode())}", lambda: WordTokenizer(spec))
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, length: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -129,6 +122,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, length: int, end_id: int = 0,
     Ids are hashed as little-endian unsigned 32-bit. Null texts count as empty
     and have ``end_id`` only. Repeated rows and null ids keep a row each; other columns are left out. One narrow pass.
     """
+    docs = pick(docs, id_col, text_col)
     with open(tokenizer_path, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())  # one file, under 2 MB
     kind = docs.schema[id_col].dataType.simpleString()

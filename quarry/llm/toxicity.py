@@ -23,7 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.common import written
+from quarry.llm.common import pick, written
 from quarry.llm.labelled import sample
 
 #: Largest labelled samples; the bound on what a fit reads and on what the driver gathers.
@@ -242,6 +242,7 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", te
 
     Repeated rows and null ids keep a row each; other columns are left out. One narrow pass over Arrow batches.
     """
+    docs = pick(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quarry.llm.common import pick
+
 #: Units of a gram (five words), grams of a window.
 K, W = 5, 4
 #: Longest run that is one unit; longer ones are cut, so that a text without spaces has units too.
@@ -87,7 +89,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     The order is cut into buckets at approximate quantiles; each bucket is also sent the first
     document of the bucket after, so there is one shuffle, and no task has more than a bucket.
     """
-    plain = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    plain = pick(docs, id_col, text_col).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     ids = plain.select("doc_id").where(F.col("doc_id").isNotNull())
     n = ids.count()
     buckets = max(1, min(MOST_BUCKETS, n // BUCKET))
