@@ -15,6 +15,7 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quarry.llm.common import pick
 from quarry.llm.labelled import sample
 
 #: Largest labelled sample of each class; the bound on what the driver gathers.
@@ -170,6 +171,7 @@ def score_quality(docs: DataFrame, model: RuleEnsemble, id_col: str = "doc_id",
 
     Repeated rows and null ids keep a row each; other columns are left out, so their names can't clash. No shuffle.
     """
+    docs = pick(docs, id_col, text_col)
     rows = with_statistics(docs.select(F.col(id_col), F.col(text_col).alias("__text")), "__text", (id_col,))
     return rows.select(F.col(id_col), model.score({k: F.col(k) for k in FEATURES}).alias("score"))
 
@@ -177,7 +179,10 @@ def score_quality(docs: DataFrame, model: RuleEnsemble, id_col: str = "doc_id",
 def keep_good(docs: DataFrame, model: RuleEnsemble, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows, with the columns of ``docs``, whose score is ``threshold`` or more."""
     names = docs.columns
-    raw = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    parts = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), raw.alias("__raw"), F.split(raw, r"\s+").alias("__words"), F.split(raw, "\n").alias("__lines"))
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    raw = F.coalesce(F.col(f"c{names.index(text_col)}").cast("string"), F.lit(""))
+    parts = plain.select(F.struct(*plain.columns).alias("__row"), raw.alias("__raw"), F.split(raw, r"\s+").alias("__words"), F.split(raw, "\n").alias("__lines"))
     rows = parts.select("__row", *_shares(F.col("__raw"), F.col("__words"), F.col("__lines")))
-    return rows.where(model.score({k: F.col(k) for k in FEATURES}) >= threshold).select("__row.*")
+    # not a filter: that would be pushed below the statistics, and these made again for each rule
+    good = F.when(model.score({k: F.col(k) for k in FEATURES}) >= threshold, F.array("__row"))
+    return rows.select(F.inline(good)).toDF(*names)
