@@ -1,7 +1,7 @@
 """Line dedup by content-defined chunks.
 
 A text is wrapped into lines at newlines and after sentence ends, each line with the
-white space after it. A rolling hash over the hashes of WINDOW lines ends a chunk where it isn't
+white space character that ends it. A rolling hash over the hashes of WINDOW lines ends a chunk where it isn't
 0 modulo SPREAD, so boundaries depend on what stands around them and not on where it stands:
 a passage that occurs twice is cut alike but for its edges. Chunks whose
 hash occurs elsewhere are compared byte by byte with the first occurrence, the match
@@ -11,7 +11,6 @@ has several lines and enough words it is removed. The first occurrence always st
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.common import written
+from quarry.llm.common import pick, written
 
 #: Lines in the rolling hash; a chunk goes on in one of so many places; most lines of a chunk.
 #: A passage of s whole lines has s - 1 places of its own, and is found if two of them are boundaries: 98 of 100 times for seven lines.
@@ -28,7 +27,8 @@ WINDOW, SPREAD, LONGEST = 2, 3, 16
 LEAST_LINES, LEAST_WORDS = 2, 20
 #: Keys that may be broadcast (16 bytes each); beyond it they are shuffled.
 BROADCAST_ROWS = 1_000_000
-_END = re.compile(rb"[.!?]+[ \t]+|\n")
+#: What ends a line; and a byte that UTF-8 doesn't have.
+_ENDS, _CUT = (b". ", b"! ", b"? ", b".\t", b"!\t", b"?\t", b"\n"), b"\xff"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Rows of a batch that are cut into lines at a time.
 SLICE = 256
@@ -42,10 +42,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def lines(raw: bytes) -> list[bytes]:
     """The wrapped lines of a UTF-8 text; joined they are the text."""
-    stops = [m.end() for m in _END.finditer(raw)]
-    if not stops or stops[-1] < len(raw):
-        stops.append(len(raw))
-    return [raw[a:b] for a, b in zip([0, *stops], stops)] if raw else []
+    for end in _ENDS:
+        raw = raw.replace(end, end + _CUT)
+    found = raw.split(_CUT)
+    if not found[-1]:
+        found.pop()
+    return found
 
 
 def boundaries(hashes: np.ndarray) -> np.ndarray:
@@ -67,7 +69,7 @@ def boundaries(hashes: np.ndarray) -> np.ndarray:
 
 def line_hashes(found: list[bytes]) -> np.ndarray:
     """Hashes of the lines without the white space around them, so that a line is the same before a newline and before a space."""
-    return np.fromiter((xxhash.xxh3_64_intdigest(x.strip()) for x in found), np.uint64, len(found))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, map(bytes.strip, found)), np.uint64, len(found))
 
 
 def chunk_hashes(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -87,6 +89,7 @@ def chunk(raw: bytes) -> tuple[list[bytes], list[int]]:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    docs = pick(docs, id_col, text_col)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     own = F.col(f"`{id_col}`")
     return docs.select(own.cast("bigint").alias("doc"), F.xxhash64(own, text).alias("key"), text.cast("binary").alias("text"))
@@ -130,7 +133,7 @@ def _repeats(chunks: DataFrame) -> DataFrame:
     """
     often = written(chunks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "line-often")
     some = written(_only(chunks, often, "hash"), "line-repeated")
-    firsts = some.groupBy("hash").agg(F.min(F.struct("doc", "key", "k", "prior", "later")).alias("f"))
+    firsts = written(some.groupBy("hash").agg(F.min(F.struct("doc", "key", "k", "prior", "later")).alias("f")), "line-first")  # so that the join can split a hot line
     again = some.join(firsts, "hash").where(((F.col("key") != F.col("f.key")) | (F.col("k") != F.col("f.k"))) & (F.col("many") | (F.col("prior") == F.col("f.prior")) | (F.col("later") == F.col("f.later"))))
     return again.groupBy("key").agg(F.collect_set(F.struct("k", F.col("f.key").alias("fkey"), F.col("f.k").alias("fk"))).alias("found"))
 
