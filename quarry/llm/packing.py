@@ -73,7 +73,7 @@ class WordTokenizer:
             split[w] = (core, w[len(core) :]) if core.isalpha() else (w, "")
         new = list({p for parts in split.values() for p in parts if p and p not in self.cache})
         if new:
-            self.cache.update((p, array("I", e.ids).tobytes()) for p, e in zip(new, self.model.encode_batch(new, add_special_tokens=False)))
+            self.cache.update((p, array("I", e.ids).tobytes()) for p, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False)))
         self.cache.update((w, self.cache[core] + self.cache[tail]) for w, (core, tail) in split.items() if tail)
 
     def encode(self, texts: list[str]) -> list[bytes]:
