@@ -5,10 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.llm import queries, winnow
+from quarry.llm.common import pick
 
 
 def fingerprints(spark, docs_of, texts, **kw):
-    rows = winnow.winnow(docs_of(list(enumerate(texts))).select("doc_id", "text"), "text", "fp", **kw).orderBy("doc_id").collect()
+    rows = winnow.winnow(pick(docs_of(list(enumerate(texts))), "doc_id", "text"), "text", "fp", **kw).orderBy("doc_id").collect()
     return [[(x["hash"], x["pos"]) for x in r["fp"]] for r in rows]
 
 
