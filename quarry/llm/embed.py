@@ -20,7 +20,7 @@ from quarry.llm.common import pick, shuffle_width, written
 from quarry.llm.graph import components
 
 #: Vectors that centroids are fitted on, vectors that a cell should have, most cells, members of a block.
-SAMPLE, PER_CELL, MOST_CELLS, BLOCK = 8_192, 4_096, 1_024, 1_024
+SAMPLE, PER_CELL, MOST_CELLS, BLOCK = 8_192, 4_096, 1_024, 4_096
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
