@@ -1,17 +1,17 @@
 """Line dedup by content-defined chunks.
 
 A text is wrapped into lines at newlines and after sentence ends, each line with the
-white space character that ends it. A rolling hash over the hashes of WINDOW lines ends a chunk where it isn't
-0 modulo SPREAD, so boundaries depend on what stands around them and not on where it stands:
-a passage that occurs twice is cut alike but for its edges. Chunks whose
-hash occurs elsewhere are compared byte by byte with the first occurrence, the match
-is extended over the neighbouring lines that are equal too, and where it
-has several lines and enough words it is removed. The first occurrence always stays.
+white space character that ends it. From every line on a chunk goes to where it has LEAST_LINES lines
+and LEAST_WORDS words, and to every line one comes from the nearest such place before it. So chunks overlap and depend
+on nothing outside them: the chunks inside a passage cover all its lines, wherever it stands. Chunks whose
+hash occurs elsewhere are compared byte by byte with the first occurrence and removed.
+The first occurrence always stays.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,16 +20,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from quarry.llm.common import pick, written
 
-#: Lines in the rolling hash; a chunk goes on in one of so many places; most lines of a chunk.
-#: A passage of s whole lines has s - 1 places of its own, and is found if two of them are boundaries: 98 of 100 times for seven lines.
+#: Lines in the rolling hash of ``boundaries``; a part goes on in one of so many places; most lines of a part.
 WINDOW, SPREAD, LONGEST = 2, 3, 16
-#: Least lines and words of a match that is removed.
+#: Least lines and words of a passage that is removed.
 LEAST_LINES, LEAST_WORDS = 2, 20
 #: Keys that may be broadcast (16 bytes each); beyond it they are shuffled.
 BROADCAST_ROWS = 1_000_000
 #: What ends a line; and a byte that UTF-8 doesn't have.
 _ENDS, _CUT = (b". ", b"! ", b"? ", b".\t", b"!\t", b"?\t", b"\n"), b"\xff"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 #: Rows of a batch that are cut into lines at a time.
 SLICE = 256
 
@@ -51,7 +52,7 @@ def lines(raw: bytes) -> list[bytes]:
 
 
 def boundaries(hashes: np.ndarray) -> np.ndarray:
-    """Where chunks end, as counts of lines from the start; the last is the number of lines."""
+    """Where parts end that don't overlap, as counts of lines from the start; the last is the number of lines."""
     n = len(hashes)
     if not n:
         return np.zeros(0, np.int64)
@@ -72,18 +73,50 @@ def line_hashes(found: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, map(bytes.strip, found)), np.uint64, len(found))
 
 
-def chunk_hashes(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """63-bit hashes of the chunks, from the hashes of their lines and the lines' places in them."""
-    if not len(ends):
+def word_counts(found: list[bytes]) -> np.ndarray:
+    """Words of each line, as white space parts them."""
+    if not found:
         return np.zeros(0, np.int64)
-    starts = np.concatenate([[0], ends[:-1]])
-    place = np.arange(len(h)) - np.repeat(starts, ends - starts)
-    total = np.add.reduceat(_mix(h + (place.astype(np.uint64) + np.uint64(1)) * _STEP), starts)
-    return (_mix(total) >> np.uint64(1)).astype(np.int64)
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    starts = np.cumsum(sizes) - sizes
+    blank = _SPACE[np.frombuffer(b"".join(found), np.uint8)]
+    begins = ~blank
+    begins[1:] &= blank[:-1]
+    begins[starts] = ~blank[starts]
+    return np.add.reduceat(begins, starts, dtype=np.int64)
+
+
+def spans(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the chunks of texts that have ``sizes`` lines, one text after the other.
+
+    A passage of LEAST_LINES lines and LEAST_WORDS words or more is the union of the chunks inside it: from a line of it either the
+    chunk that starts there ends inside, or the one that ends with the passage starts there or before.
+    """
+    total, ends = np.concatenate([[0], np.cumsum(words)]), np.cumsum(sizes)
+    first, last = np.repeat(ends - sizes, sizes), np.repeat(ends, sizes)
+    at = np.arange(len(words))
+    to = np.maximum(at + LEAST_LINES, np.searchsorted(total, total[:-1] + LEAST_WORDS))
+    since = np.minimum(at + 1 - LEAST_LINES, np.searchsorted(total, total[1:] - LEAST_WORDS, "right") - 1)
+    ahead = to <= last
+    behind = since >= first
+    behind[behind] = to[since[behind]] != at[behind] + 1  # the others are there already
+    return np.concatenate([at[ahead], since[behind]]), np.concatenate([to[ahead], at[behind] + 1])
+
+
+def span_hashes(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """63-bit hashes of spans of lines, from the hashes of their lines and the lines' places in them, by sums from the start."""
+    power = lambda base: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(h), base)]))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power(_STEP)[:-1])])
+    return (_mix((total[ends] - total[starts]) * power(_BACK)[starts]) >> np.uint64(1)).astype(np.int64)
+
+
+def chunk_hashes(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of parts that don't overlap."""
+    return span_hashes(h, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends)
 
 
 def chunk(raw: bytes) -> tuple[list[bytes], list[int]]:
-    """(lines, chunk ends)."""
+    """(lines, ends of parts that don't overlap)."""
     found = lines(raw)
     return found, boundaries(line_hashes(found)).tolist()
 
@@ -96,29 +129,24 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _chunks(rows: DataFrame) -> DataFrame:
-    """(doc, key, k, hash, prior, later, many) of every chunk: 32 bits of the hashes of the lines before and after it, and whether it has several lines."""
+    """(doc, key, line, n, hash) of every chunk: its first line, number of lines and hash."""
 
     def made(b: pa.RecordBatch) -> pa.RecordBatch:
-        at, k, hashes, prior, later, many = ([] for _ in range(6))
-        for i, raw in enumerate(b.column(2).to_pylist()):
-            h = line_hashes(lines(raw))
-            ends = boundaries(h)
-            if len(ends):
-                starts = np.concatenate([[0], ends[:-1]])
-                side = np.append(h, np.uint64(len(raw))).astype(np.int64) & 0x7FFFFFFF  # the ends of two texts aren't alike
-                for column, values in ((at, np.full(len(ends), i)), (k, np.arange(len(ends), dtype=np.int32)), (hashes, chunk_hashes(h, ends)), (prior, side[starts - 1]), (later, side[ends]), (many, ends - starts > 1)):
-                    column.append(values)
-        whole = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
-        idx = pa.array(whole(at, np.int64))
-        cols = [b.column(0).take(idx), b.column(1).take(idx), *(pa.array(whole(c, t)) for c, t in ((k, np.int32), (hashes, np.int64), (prior, np.int32), (later, np.int32), (many, bool)))]
-        return pa.RecordBatch.from_arrays(cols, names=["doc", "key", "k", "hash", "prior", "later", "many"])
+        cut = [lines(raw) for raw in b.column(2).to_pylist()]
+        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+        found = list(chain.from_iterable(cut))
+        starts, ends = spans(word_counts(found), sizes)
+        of = np.repeat(np.arange(len(cut)), sizes)[starts]
+        idx = pa.array(of)
+        cols = [b.column(0).take(idx), b.column(1).take(idx), *(pa.array(c.astype(np.int32)) for c in (starts - (np.cumsum(sizes) - sizes)[of], ends - starts)), pa.array(span_hashes(line_hashes(found), starts, ends))]
+        return pa.RecordBatch.from_arrays(cols, names=["doc", "key", "line", "n", "hash"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, SLICE):
                 yield made(b.slice(i, SLICE))
 
-    return rows.mapInArrow(run, "doc bigint, key bigint, k int, hash bigint, prior int, later int, many boolean")
+    return rows.mapInArrow(run, "doc bigint, key bigint, line int, n int, hash bigint")
 
 
 def _only(rows: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
@@ -127,100 +155,83 @@ def _only(rows: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") ->
 
 
 def _repeats(chunks: DataFrame) -> DataFrame:
-    """(key, found array<struct<k, fkey, fk>>): for each text its chunks that occur earlier, and where first.
-
-    Single lines whose neighbours differ from the first occurrence's can't grow into a match and are left out.
-    """
+    """(key, found array<struct<line, n, fkey, fline>>): for each text its chunks that occur earlier, and where first."""
     often = written(chunks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "line-often")
     some = written(_only(chunks, often, "hash"), "line-repeated")
-    firsts = written(some.groupBy("hash").agg(F.min(F.struct("doc", "key", "k", "prior", "later")).alias("f")), "line-first")  # so that the join can split a hot line
-    again = some.join(firsts, "hash").where(((F.col("key") != F.col("f.key")) | (F.col("k") != F.col("f.k"))) & (F.col("many") | (F.col("prior") == F.col("f.prior")) | (F.col("later") == F.col("f.later"))))
-    return again.groupBy("key").agg(F.collect_set(F.struct("k", F.col("f.key").alias("fkey"), F.col("f.k").alias("fk"))).alias("found"))
+    firsts = written(some.groupBy("hash").agg(F.min(F.struct("doc", "key", "line")).alias("f")), "line-first")  # so that the join can split a hot chunk
+    again = some.join(firsts, "hash").where((F.col("key") != F.col("f.key")) | (F.col("line") != F.col("f.line")))
+    return again.groupBy("key").agg(F.collect_set(F.struct("line", "n", F.col("f.key").alias("fkey"), F.col("f.line").alias("fline"))).alias("found"))
+
 
+def runs_of(key: int, found: list[dict]) -> dict[tuple[int, int, int], list[int]]:
+    """{(first key, first line there, number of lines): first lines here}: matches that overlap or touch, and are as far from the first occurrence, made one.
 
-def runs_of(found: list[dict]) -> list[tuple[int, int, int, int]]:
-    """(first key, first chunk there, first chunk here, number of chunks): neighbouring matches made one."""
-    out: list[list[int]] = []
-    for m in sorted(found, key=lambda m: (m["fkey"], m["fk"] - m["k"], m["k"])):
-        if out and out[-1][0] == m["fkey"] and out[-1][1] + out[-1][3] == m["fk"] and out[-1][2] + out[-1][3] == m["k"]:
-            out[-1][3] += 1
+    Lines that a match shares with its own first occurrence stay.
+    """
+    cut = []
+    for m in found:
+        over = max(m["fline"] + m["n"] - m["line"], 0) if m["fkey"] == key else 0
+        cut.append((m["fkey"], m["fline"] - m["line"], m["line"] + over, m["line"] + m["n"]))
+    joined: list[list[int]] = []
+    for fkey, by, a, b in sorted(cut):
+        if joined and joined[-1][:2] == [fkey, by] and a <= joined[-1][3]:
+            joined[-1][3] = max(joined[-1][3], b)
         else:
-            out.append([m["fkey"], m["fk"], m["k"], 1])
-    return [tuple(x) for x in out]
+            joined.append([fkey, by, a, b])
+    out: dict[tuple[int, int, int], list[int]] = {}
+    for fkey, by, a, b in joined:
+        out.setdefault((fkey, a + by, b - a), []).append(a)
+    return out
 
 
 def _runs(repeats: DataFrame) -> DataFrame:
-    """(fkey, fk, key, k, n) of each run of matches."""
+    """(fkey, fline, n, key, at) of each run of matches, with the lines where it starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(f, fk, key, k, n) for key, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for f, fk, k, n in runs_of(found)]
+            rows = [(*of, key, at) for key, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for of, at in runs_of(key, found).items()]
             cols = list(zip(*rows)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()))], names=["fkey", "fk", "key", "k", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32())))], names=["fkey", "fline", "n", "key", "at"])
 
-    return repeats.mapInArrow(run, "fkey bigint, fk int, key bigint, k int, n int")
+    return repeats.mapInArrow(run, "fkey bigint, fline int, n int, key bigint, at array<int>")
 
 
 def _first_texts(rows: DataFrame, runs: DataFrame) -> DataFrame:
-    """(fkey, fk, n, first, before, after): lines of each run's first occurrence, and those of two chunks on either side.
-
-    Two, as the first boundary inside a passage depends on the line before it: there may be one in one occurrence
-    only. A text is read once for all its runs, and a run that many texts share is made once.
-    """
-    want = written(runs.select("fkey", "fk", "n").distinct().groupBy("fkey").agg(F.collect_list(F.struct("fk", "n")).alias("want")), "line-firsts")
+    """(fkey, fline, n, first): lines of each run's first occurrence. A text is read once for all its runs, and a run that many texts share is made once."""
+    want = written(runs.select("fkey", "fline", "n").distinct().groupBy("fkey").agg(F.collect_list(F.struct("fline", "n")).alias("want")), "line-firsts")
     texts = _only(rows.select(F.col("key").alias("fkey"), "text"), want.select("fkey"), "fkey").dropDuplicates(["fkey"]).join(want, "fkey")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for f, t, want_ in zip(*(b.column(j).to_pylist() for j in range(3))):
-                found, ends = chunk(t)
-                starts = [0, *ends]
-                part = lambda i, j: found[starts[max(i, 0)] : starts[min(j, len(ends))]]
-                out = [(f, w["fk"], w["n"], part(w["fk"], w["fk"] + w["n"]), part(w["fk"] - 2, w["fk"]), part(w["fk"] + w["n"], w["fk"] + w["n"] + 2)) for w in want_]
-                cols = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.int32()) for c in cols[1:3]), *(pa.array(c, pa.list_(pa.binary())) for c in cols[3:])], names=["fkey", "fk", "n", "first", "before", "after"])
+                found = lines(t)
+                cols = list(zip(*[(f, w["fline"], w["n"], found[w["fline"] : w["fline"] + w["n"]]) for w in want_]))
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.binary()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["fkey", "fline", "n", "first"])
 
-    return texts.select("fkey", "text", "want").mapInArrow(run, "fkey bigint, fk int, n int, first array<binary>, before array<binary>, after array<binary>")
+    return texts.select("fkey", "text", "want").mapInArrow(run, "fkey bigint, fline int, n int, first array<binary>")
 
 
 def _same(a: bytes, b: bytes) -> bool:
     return a == b or a.strip() == b.strip()
 
 
-def removed_lines(found: list[bytes], ends: list[int], matches: list[tuple[int, int, list[bytes], list[bytes], list[bytes]]]) -> list[bool]:
-    """Which lines go, given (chunk, number of chunks, lines of the first occurrence, lines before and after that)."""
-    starts, gone = [0, *ends], [False] * len(found)
-    spans: list[tuple[int, int]] = []
-    for k, n, first, before, after in matches:
-        a, b = starts[k], starts[k + n]
-        if b - a != len(first) or not all(map(_same, found[a:b], first)):
-            continue
-        for x in reversed(before):
-            if a == 0 or not _same(found[a - 1], x):
-                break
-            a -= 1
-        for x in after:
-            if b == len(found) or not _same(found[b], x):
-                break
-            b += 1
-        spans.append((a, b))
-    joined: list[list[int]] = []
-    for a, b in sorted(spans):
-        if joined and a <= joined[-1][1]:
-            joined[-1][1] = max(joined[-1][1], b)
-        else:
-            joined.append([a, b])
-    for a, b in joined:
-        if b - a >= LEAST_LINES and sum(len(x.split()) for x in found[a:b]) >= LEAST_WORDS:
-            gone[a:b] = [True] * (b - a)
+def removed_lines(found: list[bytes], matches: list[tuple[list[int], list[bytes]]]) -> list[bool]:
+    """Which lines go, given (lines where it starts, lines of the first occurrence) of each run."""
+    gone = [False] * len(found)
+    for at, first in matches:
+        n = len(first)
+        for a in at:
+            if len(found) >= a + n and all(map(_same, found[a : a + n], first)):
+                gone[a : a + n] = [True] * n
     return gone
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed_col: str | None = None) -> DataFrame:
     """``docs`` with repeated passages taken out of the text; every row stays, with all its columns.
 
-    The first occurrence, by id and then position, stays; a later one goes if it has LEAST_LINES
-    wrapped lines and LEAST_WORDS words or more once extended. Lines are compared without
+    Of every passage of LEAST_LINES wrapped lines and LEAST_WORDS words or more the first occurrence, by id and then
+    position, stays and later ones go, but for lines they share with it. Lines are compared without
     the white space around them. A text that is repeated as a whole becomes empty. Null texts stay null,
     rows with a null id come first in the order, and rows that repeat both id and text are
     treated alike. Ids must be integers. Texts without a match are unchanged to the byte, and where
@@ -229,7 +240,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = _keyed(docs, id_col, text_col)
     runs = written(_runs(_repeats(written(_chunks(rows), "line-chunks"))), "line-runs")
-    matches = runs.join(_first_texts(rows, runs), ["fkey", "fk", "n"]).groupBy("key").agg(F.collect_list(F.struct("k", "n", "first", "before", "after")).alias("__line_found"))
+    matches = runs.join(_first_texts(rows, runs), ["fkey", "fline", "n"]).groupBy("key").agg(F.collect_list(F.struct("at", "first")).alias("__line_found"))
     matches = matches.withColumnRenamed("key", "__line_key")
     keys = runs.select(F.col("key").alias("__line_key")).distinct()
     names, at = docs.columns, docs.columns.index(text_col)
@@ -244,8 +255,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         texts, gone_chars = b.column(at).to_pylist(), [0] * b.num_rows
         for i, found in enumerate(b.column(len(names)).to_pylist()):
             if found:
-                kept, ends = chunk(texts[i].encode())
-                gone = removed_lines(kept, ends, [(m["k"], m["n"], m["first"], m["before"], m["after"]) for m in found])
+                kept = lines(texts[i].encode())
+                gone = removed_lines(kept, [(m["at"], m["first"]) for m in found])
                 if any(gone):
                     left = b"".join(x for x, g in zip(kept, gone) if not g).decode()
                     gone_chars[i], texts[i] = len(texts[i]) - len(left), left

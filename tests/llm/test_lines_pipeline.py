@@ -64,6 +64,44 @@ def test_planted_passages(docs_of, glue):
     assert gone >= 57  # of 60
 
 
+@pytest.mark.parametrize("size", [2, 3, 4, 5, 6])
+def test_short_passages_all_go(docs_of, size):
+    rng, rows, plants = random.Random(size), [], []
+    for k in range(30):
+        plant = [a[:-1] + " " + b.lower() for a, b in zip(sentences(rng, size), sentences(rng, size))]  # 18 words each
+        plants.append(plant)
+        rows += [(2 * k + j, " ".join([*sentences(rng, rng.randrange(0, 4)), *plant, *sentences(rng, rng.randrange(0, 4))])) for j in range(2)]
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs_of(rows)).collect()}
+    for k, plant in enumerate(plants):
+        assert got[2 * k] == rows[2 * k][1]
+        assert got[2 * k + 1].strip() == " ".join(s for s in re.split(r"(?<=\.)\s", rows[2 * k + 1][1]) if s not in plant)
+
+
+def brute_lines(texts):
+    """Texts by id without the passages of two lines and 20 words that stand before, by comparing all pairs of places."""
+    cut = {i: [x.strip() for x in linededup.lines(t.encode())] for i, t in texts.items()}
+    seen, gone = {}, {i: set() for i in texts}
+    for i in sorted(texts):
+        for a in range(len(cut[i])):
+            for b in range(a + 2, len(cut[i]) + 1):
+                p = tuple(cut[i][a:b])
+                if sum(len(x.split()) for x in p) < 20:
+                    continue
+                j, c = seen.setdefault(p, (i, a))
+                if (j, c) != (i, a):
+                    gone[i] |= set(range(max(a, c + b - a) if j == i else a, b))
+    return {i: b"".join(x for n, x in enumerate(linededup.lines(t.encode())) if n not in gone[i]).decode() for i, t in texts.items()}
+
+
+def test_lines_against_brute_force(docs_of):
+    """Few different lines, so that passages begin and end anywhere and have parts that occur elsewhere too."""
+    rng = random.Random(8)
+    known = sentences(rng, 12) + ["Short one.", "Yes.", ""]
+    texts = {i: rng.choice(["\n", "\n\n", " "]).join(rng.choice(known) if rng.random() < 0.9 else sentences(rng, 1)[0] for _ in range(rng.randrange(1, 12))) for i in range(120)}
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs_of(list(texts.items()))).collect()}
+    assert got == brute_lines(texts)
+
+
 def test_line_edges(docs_of):
     t = " ".join(sentences(random.Random(2), 8))
     rows = [(3, t), (1, t), (1, t), (2, None), (4, ""), (5, "Short one. Short two."), (6, "Short one. Short two."), (7, t + " " + t), (None, "Odd. " * 30_000)]
