@@ -29,10 +29,17 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")), GOOD)
 
 
-def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without passages that an earlier one has; n_chars follows the text."""
-    out = linededup.dedup_lines(docs)
-    return out.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else out
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str, emptied: bool = True) -> DataFrame:
+    """All documents, without passages that an earlier one has; n_chars follows the text.
+
+    Without ``emptied`` those go of which nothing is left, such as whole copies; texts that came empty or null stay.
+    """
+    names = docs.columns
+    text = f"c{names.index('text')}"
+    plain = linededup.dedup_lines(docs, removed_col="removed").toDF(*[f"c{i}" for i in range(len(names))], "removed")
+    left = plain if emptied else plain.where((F.col("removed") == 0) | F.col(text).rlike(r"\S"))
+    out = left.drop("removed").toDF(*names)
+    return out.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in names else out
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,10 +72,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; whole copies, which the line dedup empties, are left out after it."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        docs = stage(spark, docs, sf_dir, emptied=False) if stage is drop_repeated_lines else stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = written(docs, name.replace(" ", "-"))
     return docs

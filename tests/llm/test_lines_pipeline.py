@@ -148,6 +148,14 @@ def test_pipeline_stages(spark):
     assert {r["doc_id"] for r in packed} == kept.keys()
 
 
+def test_run_leaves_out_whole_copies(spark, monkeypatch, tmp_path):
+    t = "\n".join(sentences(random.Random(4), 6))
+    spark.createDataFrame([(1, t), (2, t), (3, "\n" + t + "\n"), (4, ""), (5, None), (6, " "), (7, t + "\nOwn end.")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("line dedup", corpus_pipeline.drop_repeated_lines)])
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert {r[0]: r[1] for r in got.collect()} == {1: t, 4: "", 5: None, 6: " ", 7: "Own end."}
+
+
 def test_near_copies_stage_with_odd_rows(docs_of, spark):
     docs = docs_of([(1, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (3, "x y z"), (3, "x y z"), (None, "p q"), (4, None)])
     got = corpus_pipeline.drop_near_copies(spark, docs, SF)
