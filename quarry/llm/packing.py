@@ -19,6 +19,7 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,8 @@ from quarry.llm.common import kept, pick, written
 
 #: Mean items in a cell, islands of each cell, epochs between migrations, children of an epoch, individuals kept.
 CELL, ISLANDS, EPOCHS, CHILDREN, KEPT = 4_000, 2, 2, 24, 5
+#: Sequences that a cell should fill, so that the one it leaves open is a small share; and mean items of a cell at most for that.
+CELL_BINS, MOST_ITEMS = 32, 100_000
 #: Words whose ids a worker keeps; a bound on memory only.
 CACHED_WORDS = 900_000
 #: Marks that the pre-tokenizer never joins to the letters before them.
@@ -242,7 +245,7 @@ def _epoch(cells: DataFrame, capacity: int, epoch: int) -> DataFrame:
 
 
 def _pack_cells(items: DataFrame, capacity: int, n_cells: int, islands: int, epochs: int) -> DataFrame:
-    """(cell, uid, size, bin) of items (uid, size), each cell packed on its own; cells have about CELL items."""
+    """(cell, uid, size, bin) of items (uid, size), each cell packed on its own."""
     cells = (
         items.withColumn("cell", F.pmod(F.xxhash64("uid"), F.lit(n_cells)))
         .groupBy("cell")
@@ -261,37 +264,41 @@ def _pack_cells(items: DataFrame, capacity: int, n_cells: int, islands: int, epo
     return best.select("cell", F.explode(F.arrays_zip("b.uids", "b.sizes", "b.bin_of")).alias("x")).select("cell", F.col("x.uids").alias("uid"), F.col("x.sizes").alias("size"), F.col("x.bin_of").alias("bin"))
 
 
+def _cells_for(items: int, size: int, capacity: int, cell: int) -> int:
+    """Cells for items of a total size: about ``cell`` items in each, or more where the items are so small that these fill few bins."""
+    by_bins = max(size // (CELL_BINS * capacity), -(-items // max(cell, MOST_ITEMS)))
+    return int(max(1, min(-(-items // cell), by_bins)))
+
+
 def pack(lengths: DataFrame, capacity: int, cell: int = CELL, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
     """Pack rows (uid, n) into sequences of ``capacity``: (uid, piece, start, length, sequence_id, offset).
 
-    uid must be unique and n is 0 or more. Rows longer than ``capacity`` are cut
+    uid must be unique and n is 0 or more; a null n counts as 0. Rows longer than ``capacity`` are cut
     into full pieces, each a sequence of its own, and a remainder; a row of 0
     gives no piece. Offsets are gapless from 0. No rows give no rows. Cells have a
-    bounded number of items, whatever the input, and only counts reach the driver.
+    bounded number of items, whatever the input, and only counts reach the driver. Of each
+    cell the emptiest bin goes on to the next round, a small share of its items, so rounds are few and their work falls geometrically.
     """
-    rest = lengths.select("uid", (F.col("n") % capacity).cast("int").alias("size")).where(F.col("size") > 0)
-    left, total, placed, level = rest, rest.count(), [], 1
+    lengths = lengths.select("uid", F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n"))
+    left = lengths.select("uid", (F.col("n") % capacity).cast("int").alias("size")).where(F.col("size") > 0)
+    measured = lambda df: tuple(int(x or 0) for x in df.agg(F.count("*"), F.sum("size")).first())
+    (total, size), placed, base = measured(left), [], 0
     while total:
-        n_cells = max(1, -(-total // cell))
+        n_cells = _cells_for(total, size, capacity, cell)
         packed = written(_pack_cells(left, capacity, n_cells, islands, epochs), "packing-cells")
         own = Window.partitionBy("cell", "bin")
         before = own.orderBy("size", "uid").rowsBetween(Window.unboundedPreceding, -1)
         w = packed.withColumn("fill", F.sum("size").over(own)).withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0)))
+        total = 0
         if n_cells > 1:  # of each cell the emptiest bin, if it isn't full, goes on to the next round
             open_bin = w.groupBy("cell").agg(F.min(F.struct("fill", "bin")).alias("least")).where(F.col("least.fill") < capacity).select("cell", F.col("least.bin").alias("bin"))
             left = written(w.join(open_bin, ["cell", "bin"], "left_semi").select("uid", "size"), "packing-open")
-            total = left.count()
+            total, size = measured(left)
             w = w.join(open_bin, ["cell", "bin"], "left_anti")
-        else:
-            total = 0
-        placed.append(w.select("uid", (F.lit(level << 60) + F.col("cell") * (1 << 24) + F.col("bin")).alias("sequence_id"), "offset"))
-        level += 1
-    tails = None
-    for p in placed:
-        tails = p if tails is None else tails.unionByName(p)
+        placed.append(w.select("uid", (F.lit(base) + F.col("cell") * (1 << 24) + F.col("bin")).alias("sequence_id"), "offset"))
+        base += n_cells << 24  # a bin has an item at least, and a cell fewer than 2 ** 24
+    tails = reduce(DataFrame.unionByName, placed) if placed else lengths.where(F.lit(False)).select("uid", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     n, whole = F.col("n"), F.floor(F.col("n") / capacity)
-    if tails is None:
-        tails = lengths.select("uid", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).where(F.lit(False))
     remainders = lengths.join(tails, "uid").select("uid", whole.cast("int").alias("piece"), (whole * capacity).cast("long").alias("start"), (n % capacity).cast("long").alias("length"), F.col("sequence_id").cast("long").alias("sequence_id"), F.col("offset").cast("long").alias("offset"))
     long_rows = lengths.where(n >= capacity).select("uid", F.explode(F.sequence(F.lit(0), (whole - 1).cast("int"))).alias("piece"))
     full = _numbered(long_rows).select("uid", "piece", (F.col("piece").cast("long") * capacity).alias("start"), F.lit(capacity).cast("long").alias("length"), "sequence_id", F.lit(0).cast("long").alias("offset"))

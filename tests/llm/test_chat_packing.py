@@ -117,6 +117,29 @@ def test_packing_edges(docs_of):
     assert packing.pack_documents(docs_of([]), WORDS, 2048).collect() == []
 
 
+def test_many_small_items(spark):
+    """Half a million rows of one token, as empty documents give, and mixed small ones: few rounds, no overflow, the least number of sequences."""
+    rows = packing.pack(spark.range(500_000).select(F.col("id").alias("uid"), F.lit(1).alias("n")), 2048).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count_distinct("offset").alias("k"), F.max("offset").alias("top")).collect()
+    assert sum(r["n"] for r in rows) == 500_000 and len(rows) == -(-500_000 // 2048)
+    assert all(r["n"] == r["k"] == r["top"] + 1 <= 2048 for r in rows)
+    assert packing._cells_for(10**12, 10**12, 2048, 4000) << 24 < 1 << 62
+
+
+def test_many_empty_documents(spark):
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.lit("")).alias("text"))
+    rows = packing.pack_documents(docs, WORDS, 2048).collect()
+    assert len({r["doc_id"] for r in rows}) == len(rows) == 60_000 and check_packing(rows, 2048) == 30
+
+
+def test_evolution_on_the_whole_path_beats_best_fit(spark):
+    """Items of which best-fit decreasing needs more bins than the bound: islands, crossover and migration must find better."""
+    size = [4, 3, 3] * 20
+    first = packing._fresh(sorted(range(len(size)), key=lambda i: -size[i]), size, 10)
+    rows = packing.pack(spark.createDataFrame(list(enumerate(size)), "uid long, n long"), 10, cell=100, epochs=3).collect()
+    assert sorted((r["uid"], r["length"]) for r in rows) == list(enumerate(size))
+    assert -(-sum(size) // 10) <= check_packing(rows, 10) < len(first)
+
+
 def test_evolution_beats_or_equals_best_fit():
     rng = random.Random(6)
     size = [rng.choice([34, 51, 27, 40, 13, 66]) for _ in range(120)]
