@@ -155,6 +155,30 @@ def test_vectors_against_brute_force(spark, monkeypatch, cell, block):
     assert got == _brute_vectors(rows)
 
 
+def test_cells_grow_with_the_data():
+    assert [embed.cells_for(n) for n in (0, 1, 2, 59, 5_000)] == [1, 1, 2, 2, 3]
+    for n in (10**6, 10**8, 10**10):
+        assert embed.cells_for(4 * n) > 1.9 * embed.cells_for(n) and embed.cells_for(n) ** 2 <= n
+
+
+def test_many_pairs_are_folded(spark):
+    """A large group of near-equal vectors: all pairs are linked, and no more than a strip of them is held."""
+    rng = np.random.default_rng(0)
+    x = np.ones(16) + rng.normal(size=(3000, 16)) * 0.01
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links, root = embed.block_links(x, np.ones(3000, np.int64), np.ones(3000, bool), np.zeros(3000, np.int64), False, 0.93)
+    assert (links == 2999).all() and (root == 0).all()
+
+
+def test_groups_over_batches():
+    import pyarrow as pa
+
+    rows = [("a", 1), ("a", 1), ("a", 2), ("b", 2), ("b", 2), ("b", 2), ("c", 2)]
+    for step in (1, 2, 3, 7):
+        parts = [pa.RecordBatch.from_pylist([{"k": k, "n": n, "i": i} for i, (k, n) in enumerate(rows)][a : a + step]) for a in range(0, 7, step)]
+        assert [t.column("i").to_pylist() for t in embed.groups(iter(parts), ["k", "n"])] == [[0, 1], [2], [3, 4, 5], [6]]
+
+
 def test_vector_edges(spark):
     assert embed.near_vectors(_vectors(spark, [])).collect() == []
     rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, [1.0, 0.0], 0), (None, [1.0, 0.0], 0)]
