@@ -9,7 +9,9 @@ confirmed on the full sets.
 Equal sets are one class from the start. Within a bucket of a band, every class is
 first compared with the bucket's least only; classes that this links need no further
 pairs. Buckets that then hold several components are compared block by block
-across components, with nothing emitted but the pairs that the sketches let pass: no cap, no lost link.
+across components: first their sketches, which leave the members that may have a partner there, then the full sets
+of these, dealt to each pair of blocks once. What a pair of blocks gives is the least member that each one
+reaches, never pairs: no cap, no lost link.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quarry.llm.common import kept, pick, shuffle_width, written
+from quarry.llm.embed import groups
 from quarry.llm.graph import components
 
 #: Registers, those of a band, and the scale b, a of the registers. 40 bands of 6: a pair of likeness 0.8 shares none with probability 5e-6.
@@ -30,8 +33,8 @@ BANDS = M // ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65_534
 #: Deviations of the likelihood estimate, below the threshold, at which a pair is still confirmed on full sets.
 DEVIATIONS = 4.7
-#: Members of a bucket that a task compares with as many others at a time.
-BLOCK = 512
+#: Members of a bucket whose sketches a task compares with as many others' at a time; shingles of a block whose full sets are compared.
+BLOCK, BLOCK_SHINGLES = 2_048, 1_000_000
 #: Words whose hashes a worker keeps; a bound on memory only.
 CACHED_WORDS = 400_000
 #: Ids that may be broadcast (8 bytes each); beyond it they are shuffled.
@@ -147,8 +150,8 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
 
 
 def _bands() -> Column:
-    """Exploded band keys of ``regs``, the number of the band mixed in."""
-    return F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("regs", i * (2 * ROWS) + 1, F.lit(2 * ROWS)))))
+    """Exploded (band, key) of ``regs``, the number of the band mixed into the key."""
+    return F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("regs", i * (2 * ROWS) + 1, F.lit(2 * ROWS))))).alias("band", "key")
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -171,65 +174,90 @@ def _pass_sketches(pairs: DataFrame, classes: DataFrame, threshold: float) -> Da
     return pairs.join(left, "a").join(right, "b").where(near).select("a", "b", "ra", "rb", "na", "nb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _pairs_across(members: DataFrame, threshold: float, width: int) -> DataFrame:
-    """Pairs that pass the sketches, of members (key, rep, comp, n, regs) that share a key and not a component.
-
-    Buckets are cut into blocks of about BLOCK; a task has two blocks at a time, never a whole bucket of any size.
-    """
+def _dealt(members: DataFrame, blocks: Column, width: int) -> DataFrame:
+    """Members (key, rep, ...) dealt to the pairs (lo, hi) of their buckets' blocks, sorted so that those of a pair follow each other."""
+    sizes = members.groupBy("key").agg(blocks.cast("int").alias("blocks"))
+    placed = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    met = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = met.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("blocks", "other")
+    return met.repartition(width, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "rep")
+
+
+def _first_shared(band: int, row: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Whether ``band`` is the first that the rows share, so that a pair counts in one bucket only."""
+    if not band:
+        return np.ones(len(others), bool)
+    same = (others[:, : band * ROWS] == row[: band * ROWS]).reshape(len(others), band, ROWS).all(2)
+    return ~same.any(1)
+
+
+def _partners(t: pa.Table, threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, later rows that the sketches let pass, component of each row) of one pair of blocks. The caller may merge components as it goes."""
+    comp, n, own = (t.column(c).to_numpy(zero_copy_only=False).copy() if c == "comp" else t.column(c).to_numpy() for c in ("comp", "n", "own"))
+    regs, band = _matrix(t.column("regs")), t.column("band")[0].as_py()
+    apart = t.column("lo")[0].as_py() != t.column("hi")[0].as_py()
+    for i in range(len(comp) - 1):
+        rest = np.arange(i + 1, len(comp))
+        rest = rest[comp[rest] != comp[i]]
+        if apart:
+            rest = rest[own[rest] != own[i]]
+        rest = rest[np.minimum(n[rest], n[i]) >= threshold * np.maximum(n[rest], n[i])]
+        if len(rest):
+            rest = rest[likely(np.broadcast_to(regs[i], (len(rest), M)), regs[rest], np.full(len(rest), n[i]), n[rest], threshold)]
+        if len(rest):
+            rest = rest[_first_shared(band, regs[i], regs[rest])]
+        if len(rest):
+            yield i, rest, comp
+
+
+def _worth(members: DataFrame, threshold: float, width: int) -> DataFrame:
+    """(key, rep) of the members (key, band, rep, comp, n, regs) that, by the sketches, may be linked with one of another component in their bucket."""
     kind = members.schema["rep"].dataType.simpleString()
-    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    met = dealt.select("key", "rep", "comp", "n", "regs", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    met = met.select("key", "rep", "comp", "n", "regs", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    met = met.repartition(width, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "rep")
-
-    def compare(rep: np.ndarray, comp: np.ndarray, n: np.ndarray, own: np.ndarray, regs: np.ndarray, lo: int, hi: int) -> list[pa.Array]:
-        out = []
-        for i in range(len(rep) - 1):
-            rest = np.arange(i + 1, len(rep))
-            rest = rest[comp[rest] != comp[i]]
-            if lo != hi:
-                rest = rest[own[rest] != own[i]]
-            rest = rest[np.minimum(n[rest], n[i]) >= threshold * np.maximum(n[rest], n[i])]
-            if len(rest):
-                rest = rest[likely(np.broadcast_to(regs[i], (len(rest), M)), regs[rest], np.full(len(rest), n[i]), n[rest], threshold)]
-                out += [(rep[i], rep[j]) for j in rest]
-        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def flush(t: pa.Table, last: bool) -> tuple[pa.RecordBatch, pa.Table | None]:
-            key, lo, hi = (t.column(c).to_numpy() for c in ("key", "lo", "hi"))
-            edge = np.flatnonzero((key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
-            starts = np.concatenate([[0], edge, [len(key)]])
-            stop = len(starts) - 1 if last else len(starts) - 2
-            found = []
-            if stop > 0:
-                rep, comp, n, own = (t.column(c).to_numpy() for c in ("rep", "comp", "n", "own"))
-                regs = _matrix(t.column("regs"))
-                for a, z in zip(starts[:stop], starts[1 : stop + 1]):
-                    found += compare(rep[a:z], comp[a:z], n[a:z], own[a:z], regs[a:z], lo[a], hi[a])
-            made = pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], t.schema.field("rep").type), pa.array([f[1] for f in found], t.schema.field("rep").type)], names=["a", "b"])
-            return made, None if last else t.slice(int(starts[-2]))
+        for t in groups(batches, ["key", "lo", "hi"]):
+            some = np.zeros(t.num_rows, bool)
+            for i, rest, _ in _partners(t, threshold):
+                some[i] = True
+                some[rest] = True
+            if some.any():
+                yield from t.select(["key", "rep"]).filter(pa.array(some)).to_batches()
 
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            held = t if held is None else pa.concat_tables([held, t]).combine_chunks()
-            if held.num_rows:
-                made, held = flush(held, False)
-                yield made
-        if held is not None and held.num_rows:
-            yield flush(held, True)[0]
+    return _dealt(members, F.ceil(F.count("*") / BLOCK), width).select("key", "band", "rep", "comp", "n", "regs", "own", "lo", "hi").mapInArrow(run, f"key bigint, rep {kind}").distinct()
 
-    return met.select("key", "rep", "comp", "n", "regs", "own", "lo", "hi").mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
+def _links(members: DataFrame, threshold: float, percent: int, width: int) -> DataFrame:
+    """(a, b): links of members (key, band, rep, comp, n, regs, hashes) of a bucket, as many as join what is linked there, confirmed on full sets.
 
-def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes with 100 |A and B| >= percent |A or B|, on their full shingle sets."""
+    A task has the sets of two blocks, each of about BLOCK_SHINGLES shingles or one set; two members that links join already aren't compared again.
+    """
+    kind = members.schema["rep"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches, ["key", "lo", "hi"]):
+            rep, sets, a, b = t.column("rep").to_numpy(), t.column("hashes"), [], []
+            at = lambda i: np.frombuffer(sets[int(i)].as_buffer(), np.uint64)
+            for i, rest, comp in _partners(t, threshold):
+                s = at(i)
+                for j in rest:
+                    if comp[j] == comp[i]:
+                        continue
+                    o = at(j)
+                    both = len(np.intersect1d(s, o, assume_unique=True))
+                    if 100 * both >= percent * (len(s) + len(o) - both):
+                        a.append(rep[i]), b.append(rep[j])
+                        comp[comp == comp[j]] = comp[i]
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, t.schema.field("rep").type), pa.array(b, t.schema.field("rep").type)], names=["a", "b"])
+
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES))
+    return _dealt(members, blocks, width).select("key", "band", "rep", "comp", "n", "regs", "own", "lo", "hi", "hashes").mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def _full_sets(reps: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """(rep, hashes): full shingle sets of the classes named by (rep), made from the texts anew and written."""
     kind = classes.schema["rep"].dataType.simpleString()
-    ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-    ends = written(ends.join(classes.select("rep", "digest"), "rep"), "minhash-ends")
+    ends = written(reps.distinct().join(classes.select("rep", "digest"), "rep"), "minhash-ends")
     ids = ends.select(F.col("rep").alias("__end")).distinct()
     if ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
@@ -241,7 +269,12 @@ def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
 
     text = docs.select(F.col(id_col).alias("rep"), F.col(text_col).cast("string").cast("binary").alias("raw"))
     full = text.join(ids, F.col("rep") == F.col("__end"), "left_semi").mapInArrow(sets, f"rep {kind}, digest binary, hashes binary")
-    full = full.join(ends, ["rep", "digest"], "left_semi").groupBy("rep").agg(F.first("hashes").alias("hashes"))
+    return written(full.join(ends, ["rep", "digest"], "left_semi").groupBy("rep").agg(F.first("hashes").alias("hashes")), "minhash-sets")
+
+
+def _confirm(stars: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes with 100 |A and B| >= percent |A or B|, on their full sets; at most a pair a band for each class."""
+    kind = stars.schema["a"].dataType.simpleString()
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -252,8 +285,7 @@ def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
                 ok.append(100 * both >= percent * (len(s) + len(t) - both))
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    full = written(full, "minhash-sets")
-    joined = pairs.join(full.select(F.col("rep").alias("a"), F.col("hashes").alias("x")), "a").join(full.select(F.col("rep").alias("b"), F.col("hashes").alias("y")), "b")
+    joined = stars.join(full.select(F.col("rep").alias("a"), F.col("hashes").alias("x")), "a").join(full.select(F.col("rep").alias("b"), F.col("hashes").alias("y")), "b")
     return joined.select("a", "b", "x", "y").mapInArrow(check, f"a {kind}, b {kind}")
 
 
@@ -273,20 +305,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     rows = written(_sketches(docs, id_col, text_col, words), "minhash-rows")
     classes = rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs")).where("rep IS NOT NULL")
     classes = written(classes, "minhash-classes")
-    bands = classes.select("rep", _bands().alias("key"))
+    bands = classes.select("rep", _bands())
     shared = written(bands.groupBy("key").agg(F.min("rep").alias("least"), F.count("*").alias("members")).where("members > 1").select("key", "least"), "minhash-shared")  # so that the join can split a hot band
     members = written(bands.join(shared, "key"), "minhash-members")
     stars = members.where(F.col("rep") != F.col("least")).select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
-    first = written(_confirm(written(_pass_sketches(stars, classes, threshold), "minhash-stars"), classes, docs, id_col, text_col, words, percent), "minhash-links")
+    stars = written(_pass_sketches(stars, classes, threshold), "minhash-stars")
+    sets = lambda reps: _full_sets(reps, classes, docs, id_col, text_col, words)
+    first = written(_confirm(stars, sets(stars.select(F.col("a").alias("rep")).unionByName(stars.select(F.col("b").alias("rep")))), percent), "minhash-links")
     known = written(components(first), "minhash-components")
-    placed = members.join(known.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+    placed = members.join(known.withColumnRenamed("node", "rep"), "rep", "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo < hi AND members > 2").select("key")
-    open_ = placed.join(mixed, "key").join(classes.select("rep", "n", "regs"), "rep")
-    more = written(_pairs_across(open_, threshold, width), "minhash-pairs")
-    more = more.join(stars, ["a", "b"], "left_anti")
-    second = _confirm(written(more, "minhash-more"), classes, docs, id_col, text_col, words, percent)
-    groups = components(first.unionByName(second))
-    names = classes.select("digest", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    open_ = written(placed.join(mixed, "key").join(classes.select("rep", "n", "regs"), "rep"), "minhash-open")
+    worth = written(_worth(open_, threshold, width), "minhash-worth")
+    closer = open_.join(worth, ["key", "rep"]).join(sets(worth.select("rep")), "rep")
+    second = written(_links(closer, threshold, percent, width), "minhash-more")
+    groups_ = components(first.unionByName(second))
+    names = classes.select("digest", "rep").join(groups_.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = rows.select("doc_id", "n", "digest").join(names, "digest", "left")
     component = F.coalesce(F.when(F.col("n") > 0, F.col("component")), F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))

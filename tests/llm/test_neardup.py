@@ -51,6 +51,7 @@ def corpus(seed, n, vocabulary=40):
 @pytest.mark.parametrize("k, percent, block", [(4, 80, 512), (5, 80, 4)])
 def test_against_brute_force(docs_of, monkeypatch, k, percent, block):
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 30 * block)
     rows = corpus(k, 240)
     assert near(docs_of(rows), k, percent) == brute(rows, k, percent)
 
@@ -67,6 +68,18 @@ def test_large_group_of_near_copies(docs_of):
     assert near(docs_of(rows), 4, 80) == brute(rows, 4, 80)
 
 
+def test_large_group_alike_but_not_enough(docs_of, monkeypatch):
+    """Each of a group shares most of a text with each other one, just too little for a link, but for a few pairs."""
+    monkeypatch.setattr(minhash, "BLOCK", 64)
+    rng, rows = random.Random(4), []
+    base = [f"b{i}" for i in range(160)]
+    for i in range(200):
+        rows.append((i, " ".join([*base, *[f"x{rng.randrange(10**6)}" for _ in range(25)]])))
+    rows += [(1000 + i, t.rsplit(" ", 2)[0]) for i, t in rows[:40]]
+    got = near(docs_of(rows), 4, 80)
+    assert got == brute(rows, 4, 80) and sum(not k for _, _, k in got.values()) == 40
+
+
 def test_edges(docs_of):
     rows = [(9, None), (8, ""), (7, " \t\n"), (6, "one two"), (5, "ONE Two"), (4, "one  two"), (3, "É two three four five"), (2, "é two three four five"), (1, "word " * 30_000), (0, "word word word word word")]
     assert near(docs_of(rows), 5, 80) == brute(rows, 5, 80)
