@@ -1,7 +1,8 @@
 """Line dedup by content-defined chunks.
 
 A text is wrapped into lines at newlines and after sentence ends, each line with the
-white space character that ends it. From every line on a chunk goes to where it has LEAST_LINES lines
+white space character that ends it; a line of more than LONG_LINE bytes is wrapped again after words that its content
+defines, so that a passage without sentence ends has lines too. From every line on a chunk goes to where it has LEAST_LINES lines
 and LEAST_WORDS words, and to every line one comes from the nearest such place before it. So chunks overlap and depend
 on nothing outside them: the chunks inside a passage cover all its lines, wherever it stands. Chunks whose
 hash occurs elsewhere are compared byte by byte with the first occurrence and removed.
@@ -10,6 +11,7 @@ The first occurrence always stays.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -22,15 +24,19 @@ from quarry.llm.common import pick, written
 
 #: Lines in the rolling hash of ``boundaries``; a part goes on in one of so many places; most lines of a part.
 WINDOW, SPREAD, LONGEST = 2, 3, 16
-#: Least lines and words of a passage that is removed.
+#: Least lines and words of a passage that is removed; two characters from U+3000 to U+D7FF count as a word as well.
 LEAST_LINES, LEAST_WORDS = 2, 20
+#: Bytes of a line that isn't wrapped again; about one in WRAP pairs of words ends a piece of a longer one, or every STRIDE-th word if no pair does.
+LONG_LINE, WRAP, STRIDE = 300, 8, 16
 #: Keys that may be broadcast (16 bytes each); beyond it they are shuffled.
 BROADCAST_ROWS = 1_000_000
 #: What ends a line; and a byte that UTF-8 doesn't have.
-_ENDS, _CUT = (b". ", b"! ", b"? ", b".\t", b"!\t", b"?\t", b"\n"), b"\xff"
+_ENDS, _CUT = (b". ", b"! ", b"? ", b".\t", b"!\t", b"?\t", b"\n", *(c.encode() for c in "。！？")), b"\xff"
+_WORD = re.compile(rb"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+[ \t\n\r\x0b\x0c]*")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+_WIDE = np.isin(np.arange(256), range(0xE3, 0xEE))  # first bytes of U+3000 to U+D7FF
 #: Rows of a batch that are cut into lines at a time.
 SLICE = 256
 
@@ -41,6 +47,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _wrapped(line: bytes) -> list[bytes]:
+    """Pieces of a long line: a word ends one if its length, its last byte and the length of the word before make it an end."""
+    tokens = _WORD.findall(line)
+    bare = _bare(tokens)
+    ends = [i + 1 for i in range(1, len(tokens) - 1) if not (3 * len(bare[i - 1]) + len(bare[i]) + bare[i][-1]) % WRAP] or list(range(STRIDE, len(tokens), STRIDE))
+    return [b"".join(tokens[a:z]) for a, z in zip([0, *ends], [*ends, len(tokens)])] if tokens else [line]
+
+
 def lines(raw: bytes) -> list[bytes]:
     """The wrapped lines of a UTF-8 text; joined they are the text."""
     for end in _ENDS:
@@ -48,6 +62,8 @@ def lines(raw: bytes) -> list[bytes]:
     found = raw.split(_CUT)
     if not found[-1]:
         found.pop()
+    if found and max(map(len, found)) > LONG_LINE:
+        found = [p for x in found for p in (_wrapped(x) if len(x) > LONG_LINE else (x,))]
     return found
 
 
@@ -74,16 +90,17 @@ def line_hashes(found: list[bytes]) -> np.ndarray:
 
 
 def word_counts(found: list[bytes]) -> np.ndarray:
-    """Words of each line, as white space parts them."""
+    """Twice the words of each line, as white space parts them, and its characters of wide scripts, which have no such words."""
     if not found:
         return np.zeros(0, np.int64)
     sizes = np.fromiter(map(len, found), np.int64, len(found))
     starts = np.cumsum(sizes) - sizes
-    blank = _SPACE[np.frombuffer(b"".join(found), np.uint8)]
+    raw = np.frombuffer(b"".join(found), np.uint8)
+    blank = _SPACE[raw]
     begins = ~blank
     begins[1:] &= blank[:-1]
     begins[starts] = ~blank[starts]
-    return np.add.reduceat(begins, starts, dtype=np.int64)
+    return 2 * np.add.reduceat(begins, starts, dtype=np.int64) + np.add.reduceat(_WIDE[raw], starts, dtype=np.int64)
 
 
 def spans(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,8 +112,8 @@ def spans(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     total, ends = np.concatenate([[0], np.cumsum(words)]), np.cumsum(sizes)
     first, last = np.repeat(ends - sizes, sizes), np.repeat(ends, sizes)
     at = np.arange(len(words))
-    to = np.maximum(at + LEAST_LINES, np.searchsorted(total, total[:-1] + LEAST_WORDS))
-    since = np.minimum(at + 1 - LEAST_LINES, np.searchsorted(total, total[1:] - LEAST_WORDS, "right") - 1)
+    to = np.maximum(at + LEAST_LINES, np.searchsorted(total, total[:-1] + 2 * LEAST_WORDS))
+    since = np.minimum(at + 1 - LEAST_LINES, np.searchsorted(total, total[1:] - 2 * LEAST_WORDS, "right") - 1)
     ahead = to <= last
     behind = since >= first
     behind[behind] = to[since[behind]] != at[behind] + 1  # the others are there already
@@ -155,33 +172,36 @@ def _only(rows: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") ->
 
 
 def _repeats(chunks: DataFrame) -> DataFrame:
-    """(key, found array<struct<line, n, fkey, fline>>): for each text its chunks that occur earlier, and where first."""
+    """(key, found array<struct<line, n, fkey, fline>>): for each text its chunks that occur earlier, and where first.
+
+    Chunks are too many for their hashes to be broadcast at any size that matters, so both sides are always shuffled; the smaller, of distinct hashes, is the one that is held.
+    """
     often = written(chunks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "line-often")
-    some = written(_only(chunks, often, "hash"), "line-repeated")
+    some = written(chunks.join(often.hint("shuffle_hash"), "hash", "left_semi"), "line-repeated")
     firsts = written(some.groupBy("hash").agg(F.min(F.struct("doc", "key", "line")).alias("f")), "line-first")  # so that the join can split a hot chunk
-    again = some.join(firsts, "hash").where((F.col("key") != F.col("f.key")) | (F.col("line") != F.col("f.line")))
+    again = some.join(firsts.hint("shuffle_hash"), "hash").where((F.col("key") != F.col("f.key")) | (F.col("line") != F.col("f.line")))
     return again.groupBy("key").agg(F.collect_set(F.struct("line", "n", F.col("f.key").alias("fkey"), F.col("f.line").alias("fline"))).alias("found"))
 
 
-def runs_of(key: int, found: list[dict]) -> dict[tuple[int, int, int], list[int]]:
-    """{(first key, first line there, number of lines): first lines here}: matches that overlap or touch, and are as far from the first occurrence, made one.
+def runs_of(row: np.ndarray, key: np.ndarray, line: np.ndarray, n: np.ndarray, fkey: np.ndarray, fline: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first key, first line there, number of lines, line here) of matches that overlap or touch, and are as far from the first occurrence, made one.
 
-    Lines that a match shares with its own first occurrence stay.
+    Matches are given by the number of their text and its key. Lines that a match shares with its own first occurrence stay. Sorted by all but the last, then by it.
     """
-    cut = []
-    for m in found:
-        over = max(m["fline"] + m["n"] - m["line"], 0) if m["fkey"] == key else 0
-        cut.append((m["fkey"], m["fline"] - m["line"], m["line"] + over, m["line"] + m["n"]))
-    joined: list[list[int]] = []
-    for fkey, by, a, b in sorted(cut):
-        if joined and joined[-1][:2] == [fkey, by] and a <= joined[-1][3]:
-            joined[-1][3] = max(joined[-1][3], b)
-        else:
-            joined.append([fkey, by, a, b])
-    out: dict[tuple[int, int, int], list[int]] = {}
-    for fkey, by, a, b in joined:
-        out.setdefault((fkey, a + by, b - a), []).append(a)
-    return out
+    over = np.where(fkey == key, np.maximum(fline + n - line, 0), 0)
+    by, a, z = fline - line, line + over, line + n
+    order = np.lexsort((a, by, fkey, row))
+    row, fkey, by, a, z = (x[order] for x in (row, fkey, by, a, z))
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (fkey[1:] != fkey[:-1]) | (by[1:] != by[:-1])
+    lift = (np.cumsum(new) - 1) * (int(z.max(initial=0)) + 1)
+    reach = np.maximum.accumulate(z + lift)  # the furthest end so far within each group
+    new[1:] |= a[1:] + lift[1:] > reach[:-1]
+    starts = np.flatnonzero(new)
+    ends = np.append(starts[1:], len(row)) - 1
+    row, fkey, first, size, at = row[starts], fkey[starts], (a + by)[starts], (reach - lift)[ends] - a[starts], a[starts]
+    order = np.lexsort((at, size, first, fkey, row))
+    return row[order], fkey[order], first[order], size[order], at[order]
 
 
 def _runs(repeats: DataFrame) -> DataFrame:
@@ -189,40 +209,53 @@ def _runs(repeats: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(*of, key, at) for key, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for of, at in runs_of(key, found).items()]
-            cols = list(zip(*rows)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32())))], names=["fkey", "fline", "n", "key", "at"])
+            lists = b.column(1)
+            sizes = np.diff(lists.offsets.to_numpy())
+            row = np.repeat(np.arange(b.num_rows), sizes)
+            keys, inside = b.column(0).to_numpy(), lists.flatten()
+            cols = [inside.field(c).to_numpy().astype(np.int64) for c in ("line", "n", "fkey", "fline")]
+            row, fkey, fline, n, at = runs_of(row, keys[row], cols[0], cols[1], cols[2], cols[3])
+            same = np.zeros(len(row), bool)
+            same[1:] = (row[1:] == row[:-1]) & (fkey[1:] == fkey[:-1]) & (fline[1:] == fline[:-1]) & (n[1:] == n[:-1])
+            starts = np.flatnonzero(~same)
+            places = pa.ListArray.from_arrays(pa.array(np.append(starts, len(row)).astype(np.int32)), pa.array(at.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(fkey[starts]), pa.array(fline[starts].astype(np.int32)), pa.array(n[starts].astype(np.int32)), pa.array(keys[row[starts]]), places], names=["fkey", "fline", "n", "key", "at"])
 
     return repeats.mapInArrow(run, "fkey bigint, fline int, n int, key bigint, at array<int>")
 
 
+def _bare(found: list[bytes]) -> list[bytes]:
+    """Lines without the white space around them, which is how they are compared."""
+    return list(map(bytes.strip, found))
+
+
 def _first_texts(rows: DataFrame, runs: DataFrame) -> DataFrame:
-    """(fkey, fline, n, first): lines of each run's first occurrence. A text is read once for all its runs, and a run that many texts share is made once."""
+    """(fkey, fline, n, first): bare lines of each run's first occurrence, with cuts between. A text is read once for all its runs, and a run that many texts share is made once."""
     want = written(runs.select("fkey", "fline", "n").distinct().groupBy("fkey").agg(F.collect_list(F.struct("fline", "n")).alias("want")), "line-firsts")
     texts = _only(rows.select(F.col("key").alias("fkey"), "text"), want.select("fkey"), "fkey").dropDuplicates(["fkey"]).join(want, "fkey")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for f, t, want_ in zip(*(b.column(j).to_pylist() for j in range(3))):
-                found = lines(t)
-                cols = list(zip(*[(f, w["fline"], w["n"], found[w["fline"] : w["fline"] + w["n"]]) for w in want_]))
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.binary()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["fkey", "fline", "n", "first"])
-
-    return texts.select("fkey", "text", "want").mapInArrow(run, "fkey bigint, fline int, n int, first array<binary>")
-
-
-def _same(a: bytes, b: bytes) -> bool:
-    return a == b or a.strip() == b.strip()
-
-
-def removed_lines(found: list[bytes], matches: list[tuple[list[int], list[bytes]]]) -> list[bool]:
-    """Which lines go, given (lines where it starts, lines of the first occurrence) of each run."""
-    gone = [False] * len(found)
-    for at, first in matches:
-        n = len(first)
+            lists = b.column(2)
+            inside, ends = lists.flatten(), np.cumsum(np.diff(lists.offsets.to_numpy())).tolist()
+            flines, ns = (inside.field(c).to_pylist() for c in ("fline", "n"))
+            first, start = [], 0
+            for t, end in zip(b.column(1), ends):
+                bare = _bare(lines(t.as_py()))
+                first += [_CUT.join(bare[f : f + n]) for f, n in zip(flines[start:end], ns[start:end])]
+                start = end
+            keys = np.repeat(b.column(0).to_numpy(), np.diff(ends, prepend=0))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(flines, pa.int32()), pa.array(ns, pa.int32()), pa.array(first, pa.binary())], names=["fkey", "fline", "n", "first"])
+
+    return texts.select("fkey", "text", "want").mapInArrow(run, "fkey bigint, fline int, n int, first binary")
+
+
+def removed_lines(bare: list[bytes], matches: list[tuple[list[int], int, bytes]]) -> list[bool]:
+    """Which lines go, given (lines where it starts, number of lines, lines of the first occurrence) of each run."""
+    gone = [False] * len(bare)
+    for at, n, first in matches:
         for a in at:
-            if len(found) >= a + n and all(map(_same, found[a : a + n], first)):
+            if len(bare) >= a + n and _CUT.join(bare[a : a + n]) == first:
                 gone[a : a + n] = [True] * n
     return gone
 
@@ -240,7 +273,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = _keyed(docs, id_col, text_col)
     runs = written(_runs(_repeats(written(_chunks(rows), "line-chunks"))), "line-runs")
-    matches = runs.join(_first_texts(rows, runs), ["fkey", "fline", "n"]).groupBy("key").agg(F.collect_list(F.struct("at", "first")).alias("__line_found"))
+    matches = runs.join(_first_texts(rows, runs), ["fkey", "fline", "n"]).groupBy("key").agg(F.collect_list(F.struct("at", "n", "first")).alias("__line_found"))
     matches = matches.withColumnRenamed("key", "__line_key")
     keys = runs.select(F.col("key").alias("__line_key")).distinct()
     names, at = docs.columns, docs.columns.index(text_col)
@@ -256,7 +289,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for i, found in enumerate(b.column(len(names)).to_pylist()):
             if found:
                 kept = lines(texts[i].encode())
-                gone = removed_lines(kept, [(m["at"], m["first"]) for m in found])
+                gone = removed_lines(_bare(kept), [(m["at"], m["n"], m["first"]) for m in found])
                 if any(gone):
                     left = b"".join(x for x, g in zip(kept, gone) if not g).decode()
                     gone_chars[i], texts[i] = len(texts[i]) - len(left), left

@@ -102,6 +102,43 @@ def test_lines_against_brute_force(docs_of):
     assert got == brute_lines(texts)
 
 
+def test_runs_are_joined():
+    """Vectorized runs against joining matches one by one."""
+    rng = np.random.default_rng(1)
+    row = np.sort(rng.integers(0, 6, 300))
+    key, line, n = row + 10, rng.integers(0, 25, 300), rng.integers(2, 5, 300)
+    fkey, fline = rng.integers(10, 16, 300), rng.integers(0, 4, 300)
+    fline = np.where(fkey == key, np.minimum(fline, line - 1), fline)
+    ok = fline >= 0
+    row, key, line, n, fkey, fline = (x[ok] for x in (row, key, line, n, fkey, fline))
+    got = set(zip(*(x.tolist() for x in linededup.runs_of(row, key, line, n, fkey, fline))))
+    gone = {(r, f, d, x) for r, k, a, m, f, g in zip(row.tolist(), key.tolist(), line.tolist(), n.tolist(), fkey.tolist(), fline.tolist()) for d in [g - a] for x in range(a + (max(g + m - a, 0) if f == k else 0), a + m)}
+    assert {(r, f, g - a, x) for r, f, g, m, a in got for x in range(a, a + m)} == gone
+    for r, f, g, m, a in got:  # nothing touches a run on its own diagonal
+        assert (r, f, g - a, a - 1) not in gone and (r, f, g - a, a + m) not in gone
+
+
+def test_passages_without_sentence_ends(docs_of):
+    """60 words of prose without a full stop, and a passage in a script without spaces, are found in longer lines."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    rows, whole = [], 0
+    plants = [[word() for _ in range(60)] for _ in range(20)]
+    for k, plant in enumerate(plants):
+        for j in range(3):
+            own = [] if j == 2 else [word() for _ in range(rng.randrange(5, 30))]
+            rows.append((10 * k + j, " ".join([*own, *plant, *own[:7]])))
+    han = "".join(chr(0x4E00 + rng.randrange(5000)) + ("。" if i % 12 == 11 else "") for i in range(72))
+    rows += [(5000, "头一篇。" + han), (5001, han + "末一篇。")]
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs_of(rows)).collect()}
+    left = 0
+    for k, plant in enumerate(plants):
+        assert got[10 * k] == rows[3 * k][1]
+        left += sum(w in got[10 * k + 1].split() for w in plant)
+    assert left < 0.35 * 20 * 60  # what is before the first end inside and after the last one stays
+    assert got[5000] == "头一篇。" + han and got[5001] == "末一篇。"
+
+
 def test_line_edges(docs_of):
     t = " ".join(sentences(random.Random(2), 8))
     rows = [(3, t), (1, t), (1, t), (2, None), (4, ""), (5, "Short one. Short two."), (6, "Short one. Short two."), (7, t + " " + t), (None, "Odd. " * 30_000)]
