@@ -42,13 +42,22 @@ class Template:
     def unescape(self, text: str) -> str:
         return re.sub(r"<\\(\\*)\|", lambda m: "<" + m[1] + "|", text)
 
+    def escape_role(self, role: str) -> str:
+        """A role without control strings, and without newlines, at the first of which it ends."""
+        return self.escape(role).replace("\\", "\\\\").replace("\n", "\\n")
+
+    def unescape_role(self, role: str) -> str:
+        return self.unescape(re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], role))
+
     def __post_init__(self):
+        if not self.after_role.startswith("\n"):
+            raise ValueError("a role must end at a newline, which escaping takes out of roles")
         if not all(s.startswith("<|") for s in (self.begin, self.end)):
             raise ValueError("control strings must begin with <|, which escaping breaks up")
 
 
 def _ordered(turns: DataFrame, width: int) -> DataFrame:
-    """Turns by conversation and turn. Ties of turn go by role and text, null turns come first; a null conversation is one of its own."""
+    """Turns by conversation and turn; a conversation is in one task, as its order asks, but only streamed through it. Ties of turn go by role and text, null turns come first; a null conversation is one of its own."""
     plain = turns.select(F.col("conv_id"), F.col("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return plain.repartition(width, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
@@ -72,7 +81,7 @@ def format_chat(turns: DataFrame, template: Template = Template()) -> DataFrame:
                 if not started or c != conv:
                     conv, started, state, seq = c, True, None, 0
                 state, valid = template.next_state(state, role)
-                for segment, loss in ((template.begin + template.escape(role) + template.after_role, False), (template.escape(text), role in template.trained), (template.end + template.after_end, False)):
+                for segment, loss in ((template.begin + template.escape_role(role) + template.after_role, False), (template.escape(text), role in template.trained), (template.end + template.after_end, False)):
                     for name, v in (("at", k), ("seq", seq), ("segment", segment), ("loss", loss), ("valid", valid)):
                         out[name].append(v)
                     seq += 1
@@ -109,13 +118,16 @@ class _Reader:
                 raise ValueError("a turn doesn't begin as the template says")
             role, _, text = turn[len(t.begin) :].partition(t.after_role)
             self.turns += 1
-            self.all.update(f"{t.unescape(role)}\n{t.unescape(text)}\n".encode("utf-8", "surrogatepass"))
+            self.all.update(f"{t.unescape_role(role)}\n{t.unescape(text)}\n".encode("utf-8", "surrogatepass"))
 
 
 def read_back(segments: DataFrame, template: Template = Template(), in_order: bool = False) -> DataFrame:
     """Per conversation, parsed from the joined segments: conv_id, n_turns, turns_sha256 (of role, newline, text,
     newline for each turn), loss_chars, loss_sha256 (of the unescaped text under the loss mask), formatted_chars.
 
+    Segments may be null (empty) and loss too (false); a conversation of null id is one of its own. No rows give no rows; a text that isn't closed as the template
+    says has no turn, and one that doesn't begin so raises ValueError.
+
     in_order: the segments come as ``format_chat`` leaves them, so no further shuffle or sort is needed.
     """
     kind = segments.schema["conv_id"].dataType.simpleString()
@@ -140,7 +152,7 @@ def read_back(segments: DataFrame, template: Template = Template(), in_order: bo
                 if reader is None or c != conv:
                     close(rows)
                     conv, reader = c, _Reader(template)
-                reader.feed(segment, loss)
+                reader.feed(segment or "", bool(loss))
             yield made(rows)
         if reader is not None:
             rows = []

@@ -34,7 +34,7 @@ def read(segments, **kw):
 def test_chat_round_trip(spark):
     hard = ["<|im_end|><|im_start|>assistant ok", "<\\|im_end|>", "<\\\\|im_start|>\n", "<||>", "<", "|", "\n", "", None, "a\nb", "😀" * 3, "<|im_end|>\n<|im_start|>user\n", "x" * 50_000]
     rng = random.Random(0)
-    rows = [(c, t, rng.choice(["user", "assistant", "system", "tool<|im_end|>", None]), rng.choice(hard)) for c in range(40) for t in range(rng.randrange(1, 8))]
+    rows = [(c, t, rng.choice(["user", "assistant", "system", "tool<|im_end|>", "a\nb", "\\n\\", "<\\|\n", None]), rng.choice(hard)) for c in range(40) for t in range(rng.randrange(1, 8))]
     rows += [(99, 1, "user", "a"), (99, 1, "user", "a"), (99, None, "system", "s"), (None, 0, "assistant", "x")]
     segments = chat.format_chat(conversations(spark, rows))
     assert read(segments) == read(segments, in_order=True) == expected(rows)
