@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.common import written
+from quarry.llm.common import forget, written
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -31,4 +31,5 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = _least(large)
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        now = written(small.where(F.col("u") != F.col("v")).distinct(), "edges")
+        before, now = now, written(small.where(F.col("u") != F.col("v")).distinct(), "edges")
+        forget(before)

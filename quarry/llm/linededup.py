@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.common import pick, written
+from quarry.llm.common import forget, pick, written
 
 #: Lines in the rolling hash of ``boundaries``; a part goes on in one of so many places; most lines of a part.
 WINDOW, SPREAD, LONGEST = 2, 3, 16
@@ -171,16 +171,17 @@ def _only(rows: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") ->
     return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, on, how)
 
 
-def _repeats(chunks: DataFrame) -> DataFrame:
-    """(key, found array<struct<line, n, fkey, fline>>): for each text its chunks that occur earlier, and where first.
+def _repeats(chunks: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(key, found array<struct<line, n, fkey, fline>>): for each text its chunks that occur earlier, and where first; and the tables that this reads.
 
     Chunks are too many for their hashes to be broadcast at any size that matters, so both sides are always shuffled; the smaller, of distinct hashes, is the one that is held.
     """
     often = written(chunks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "line-often")
     some = written(chunks.join(often.hint("shuffle_hash"), "hash", "left_semi"), "line-repeated")
+    forget(chunks, often)
     firsts = written(some.groupBy("hash").agg(F.min(F.struct("doc", "key", "line")).alias("f")), "line-first")  # so that the join can split a hot chunk
     again = some.join(firsts.hint("shuffle_hash"), "hash").where((F.col("key") != F.col("f.key")) | (F.col("line") != F.col("f.line")))
-    return again.groupBy("key").agg(F.collect_set(F.struct("line", "n", F.col("f.key").alias("fkey"), F.col("f.line").alias("fline"))).alias("found"))
+    return again.groupBy("key").agg(F.collect_set(F.struct("line", "n", F.col("f.key").alias("fkey"), F.col("f.line").alias("fline"))).alias("found")), [some, firsts]
 
 
 def runs_of(row: np.ndarray, key: np.ndarray, line: np.ndarray, n: np.ndarray, fkey: np.ndarray, fline: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -272,7 +273,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``removed_col`` adds the number of code points that went.
     """
     rows = _keyed(docs, id_col, text_col)
-    runs = written(_runs(_repeats(written(_chunks(rows), "line-chunks"))), "line-runs")
+    repeats, read = _repeats(written(_chunks(rows), "line-chunks"))
+    runs = written(_runs(repeats), "line-runs")
+    forget(*read)
     matches = runs.join(_first_texts(rows, runs), ["fkey", "fline", "n"]).groupBy("key").agg(F.collect_list(F.struct("at", "n", "first")).alias("__line_found"))
     matches = matches.withColumnRenamed("key", "__line_key")
     keys = runs.select(F.col("key").alias("__line_key")).distinct()

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quarry.llm.common import kept, pick, shuffle_width, written
+from quarry.llm.common import forget, kept, pick, shuffle_width, written
 from quarry.llm.embed import groups
 from quarry.llm.graph import components
 
@@ -269,7 +269,9 @@ def _full_sets(reps: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str
 
     text = docs.select(F.col(id_col).alias("rep"), F.col(text_col).cast("string").cast("binary").alias("raw"))
     full = text.join(ids, F.col("rep") == F.col("__end"), "left_semi").mapInArrow(sets, f"rep {kind}, digest binary, hashes binary")
-    return written(full.join(ends, ["rep", "digest"], "left_semi").groupBy("rep").agg(F.first("hashes").alias("hashes")), "minhash-sets")
+    made = written(full.join(ends, ["rep", "digest"], "left_semi").groupBy("rep").agg(F.first("hashes").alias("hashes")), "minhash-sets")
+    forget(ends)
+    return made
 
 
 def _confirm(stars: DataFrame, full: DataFrame, percent: int) -> DataFrame:
@@ -311,14 +313,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     stars = members.where(F.col("rep") != F.col("least")).select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
     stars = written(_pass_sketches(stars, classes, threshold), "minhash-stars")
     sets = lambda reps: _full_sets(reps, classes, docs, id_col, text_col, words)
-    first = written(_confirm(stars, sets(stars.select(F.col("a").alias("rep")).unionByName(stars.select(F.col("b").alias("rep")))), percent), "minhash-links")
+    full = sets(stars.select(F.col("a").alias("rep")).unionByName(stars.select(F.col("b").alias("rep"))))
+    first = written(_confirm(stars, full, percent), "minhash-links")
+    forget(stars, full, shared)
     known = written(components(first), "minhash-components")
     placed = members.join(known.withColumnRenamed("node", "rep"), "rep", "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo < hi AND members > 2").select("key")
     open_ = written(placed.join(mixed, "key").join(classes.select("rep", "n", "regs"), "rep"), "minhash-open")
+    forget(members, known)
     worth = written(_worth(open_, threshold, width), "minhash-worth")
-    closer = open_.join(worth, ["key", "rep"]).join(sets(worth.select("rep")), "rep")
-    second = written(_links(closer, threshold, percent, width), "minhash-more")
+    full = sets(worth.select("rep"))
+    second = written(_links(open_.join(worth, ["key", "rep"]).join(full, "rep"), threshold, percent, width), "minhash-more")
+    forget(open_, worth, full)
     groups_ = components(first.unionByName(second))
     names = classes.select("digest", "rep").join(groups_.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = rows.select("doc_id", "n", "digest").join(names, "digest", "left")

@@ -26,7 +26,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quarry.llm.common import kept, pick, written
+from quarry.llm.common import forget, kept, pick, written
 
 #: Mean items in a cell, islands of each cell, epochs between migrations, children of an epoch, individuals kept.
 CELL, ISLANDS, EPOCHS, CHILDREN, KEPT = 4_000, 2, 2, 24, 5
@@ -245,7 +245,7 @@ def _epoch(cells: DataFrame, capacity: int, epoch: int) -> DataFrame:
 
 
 def _pack_cells(items: DataFrame, capacity: int, n_cells: int, islands: int, epochs: int) -> DataFrame:
-    """(cell, uid, size, bin) of items (uid, size), each cell packed on its own."""
+    """(cell, uid, size, bin) of items (uid, size), each cell packed on its own, written."""
     cells = (
         items.withColumn("cell", F.pmod(F.xxhash64("uid"), F.lit(n_cells)))
         .groupBy("cell")
@@ -253,15 +253,20 @@ def _pack_cells(items: DataFrame, capacity: int, n_cells: int, islands: int, epo
         .select("cell", F.col("items.size").cast("array<int>").alias("sizes"), F.col("items.uid").alias("uids"), F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"))
         .withColumn("elites", F.array().cast("array<array<int>>"))
     )
+    evolved = None
     for epoch in range(epochs):
-        evolved = written(_epoch(cells, capacity, epoch), "packing-islands")
+        before, evolved = evolved, written(_epoch(cells, capacity, epoch), "packing-islands")
+        forget(*filter(None, [before]))
         if epoch + 1 < epochs:  # migration round a ring: own elite, and that of the island before
             meet = evolved.groupBy("cell").agg(F.first("sizes").alias("sizes"), F.first("uids").alias("uids"), F.map_from_entries(F.collect_list(F.struct("island", "bin_of"))).alias("all"))
             cells = meet.select("cell", "sizes", "uids", "all", F.explode(F.map_keys("all")).alias("island")).select(
                 "cell", "sizes", "uids", "island", F.array(F.col("all")[F.col("island")], F.col("all")[F.pmod(F.col("island") + (islands - 1), F.lit(islands))]).alias("elites")
             )
     best = evolved.groupBy("cell").agg(F.min_by(F.struct("sizes", "uids", "bin_of"), F.struct("n_bins", "island")).alias("b"))
-    return best.select("cell", F.explode(F.arrays_zip("b.uids", "b.sizes", "b.bin_of")).alias("x")).select("cell", F.col("x.uids").alias("uid"), F.col("x.sizes").alias("size"), F.col("x.bin_of").alias("bin"))
+    rows = best.select("cell", F.explode(F.arrays_zip("b.uids", "b.sizes", "b.bin_of")).alias("x")).select("cell", F.col("x.uids").alias("uid"), F.col("x.sizes").alias("size"), F.col("x.bin_of").alias("bin"))
+    packed = written(rows, "packing-cells")
+    forget(evolved)
+    return packed
 
 
 def _cells_for(items: int, size: int, capacity: int, cell: int) -> int:
@@ -285,7 +290,8 @@ def pack(lengths: DataFrame, capacity: int, cell: int = CELL, islands: int = ISL
     (total, size), placed, base = measured(left), [], 0
     while total:
         n_cells = _cells_for(total, size, capacity, cell)
-        packed = written(_pack_cells(left, capacity, n_cells, islands, epochs), "packing-cells")
+        packed = _pack_cells(left, capacity, n_cells, islands, epochs)
+        forget(left)
         own = Window.partitionBy("cell", "bin")
         before = own.orderBy("size", "uid").rowsBetween(Window.unboundedPreceding, -1)
         w = packed.withColumn("fill", F.sum("size").over(own)).withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0)))

@@ -32,7 +32,6 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 3_000, 6_000
 LEAST_DOCS, LEAST_CONTEXTS = 6, 8
 #: A beginning of words is an entry only if so many different words of toxic documents have it.
 LEAST_WORDS = 4
-MOST_ENTRIES, MOST_EXCEPTIONS = 2_000, 2_000
 PREFIXES = (4, 5, 6)
 
 _ALIKE = {
@@ -152,8 +151,9 @@ def _entries(rows: DataFrame) -> dict[str, float]:
                     if term not in seen:
                         seen.add(term)
                         docs[term][label] += 1
-                    if label and len(near[term]) < 64:
+                    if label and len(near[term]) < LEAST_CONTEXTS:  # as many as are asked for, so that more change nothing
                         near[term].add(ctx)
+                    if label and len(kinds[term]) < LEAST_WORDS:
                         kinds[term].add(own)
         made = [pa.array(list(docs), pa.string()), *(pa.array([d[j] for d in docs.values()], pa.int64()) for j in (0, 1)), *(pa.array([list(x.get(t, ())) for t in docs], pa.list_(pa.int64())) for x in (near, kinds))]
         yield pa.RecordBatch.from_arrays(made, names=["term", "clean", "toxic", "near", "kinds"])
@@ -169,8 +169,7 @@ def _entries(rows: DataFrame) -> dict[str, float]:
     n1, n0 = n.get(1, 0), n.get(0, 0)
     odds = F.log((F.col("toxic") + 0.5) / F.lit(n1 + 1.0)) - F.log((F.col("clean") + 0.5) / F.lit(n0 + 1.0))
     top = got.where((F.col("toxic") >= LEAST_DOCS) & (F.col("contexts") >= LEAST_CONTEXTS) & (F.col("term").endswith(" ") | (F.col("words") >= LEAST_WORDS))).withColumn("odds", odds).where(F.col("odds") >= 2.0)
-    top = top.orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "term").limit(MOST_ENTRIES).collect()
-    return {r["term"]: round(float(r["odds"]), 4) for r in top}
+    return {r["term"]: round(float(r["odds"]), 4) for r in top.orderBy("term").collect()}  # bounded by the sample
 
 
 def _mix(*words: str) -> int:
@@ -198,7 +197,7 @@ def _exceptions(rows: DataFrame, lexicon: Lexicon) -> tuple[str, ...]:
 
     got = rows.mapInPandas(count, "phrase string, label long").groupBy("phrase").agg(F.sum("label").alias("toxic"), F.count("*").alias("n"))
     got = got.where((F.col("n") - F.col("toxic") >= 5) & (F.col("n") - F.col("toxic") >= 10 * F.col("toxic")))
-    return tuple(r["phrase"] for r in got.orderBy(F.desc("n"), "phrase").limit(MOST_EXCEPTIONS).collect())
+    return tuple(r["phrase"] for r in got.orderBy("phrase").collect())  # bounded by the sample
 
 
 def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -254,7 +253,7 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", te
 
 
 def keep_clean(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows, with the columns of ``docs``, whose score is below ``threshold``."""
+    """The rows, with the columns of ``docs``, whose score is below ``threshold``; null and empty texts have no hits, repeated rows are treated alike."""
     names, at = docs.columns, docs.columns.index(text_col)
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # names with dots or in two cases are no obstacle then
 

@@ -40,29 +40,48 @@ def _least_with(a: Column, shift: int) -> Column:
     return F.transform(a, lambda x, i: F.least(x, F.get(a, i + shift)))
 
 
+def _turned(x: Column, by: int) -> Column:
+    by %= 64
+    return F.shiftleft(x, by).bitwiseOR(F.shiftrightunsigned(x, 64 - by)) if by else x
+
+
+def _joined(x: Column, i: Column, a: int, after: Column, b: int) -> Column:
+    """Rolling hash of the a + b units from i on, from those of the first a, ``x``, and of b units anywhere, ``after``; nothing beyond the end."""
+    return _turned(x, b).bitwiseXOR(F.coalesce(F.get(after, i + a), F.lit(0).cast("bigint")))
+
+
 def winnow(df: DataFrame, text_col: str, out_col: str, k: int = K, w: int = W) -> DataFrame:
     """Add ``out_col`` array<struct<hash long, pos int>>: the selected grams in order of position, counted in units from 0.
 
-    A text of fewer than k units is one gram of all of them; one of fewer than w grams is one window. Null,
-    empty and blank texts have no grams. Equal texts, and texts that differ in case or white space
-    alone, have equal fingerprints. Other columns stay; helper columns begin with ``__w_`` and go.
+    A gram's hash is a cyclic polynomial, the rolling hash that turns by a bit and exclusive-ors a unit at each step: hashes of one, two,
+    four and so on units roll into longer ones, so neighbouring grams share their parts. A text of fewer than k units is one gram of all of
+    them; one of fewer than w grams is one window. Null, empty and blank texts have no grams. Equal texts, and texts that differ in case or white space
+    alone, have equal fingerprints. Other columns stay, whatever their names; repeated rows stay.
     """
-    keep = [F.col(f"`{c}`") for c in df.columns]
-    units = F.regexp_extract_all(F.lower(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))), F.lit(UNITS), F.lit(0))
-    df = df.select(*keep, F.transform(units, lambda u: F.xxhash64(u)).alias("__w_h"))
-    h, last = F.col("__w_h"), (1 << _PLACE) - 1
-    gram = lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)])  # noqa: E731  beyond the end: null, which leaves the hash as it is
-    key = lambda i: F.shiftleft(F.shiftrightunsigned(gram(i), 64 - 63 + _PLACE), _PLACE).bitwiseOR((F.lit(last) - i).cast("bigint"))
+    names = df.columns
+    df = df.toDF(*[f"c{i}" for i in range(len(names))])
+    keep, last = list(df.columns), (1 << _PLACE) - 1
+    units = F.regexp_extract_all(F.lower(F.coalesce(F.col(f"c{names.index(text_col)}").cast("string"), F.lit(""))), F.lit(UNITS), F.lit(0))
+    df = df.select(*keep, F.transform(units, lambda u: F.xxhash64(u)).alias("h1"))
+    size, now = 1, "h1"  # now: hashes of size units each
+    for bit in bin(k)[3:]:
+        for more in (size, 1) if bit == "1" else (size,):
+            after = now if more == size else "h1"
+            df = df.select(*keep, "h1", F.transform(now, lambda x, i: _joined(x, i, size, F.col(after), more)).alias(f"h{size + more}"))
+            size += more
+            now = f"h{size}"
+    h = F.col(now)
+    key = lambda i: F.shiftleft(F.shiftrightunsigned(F.get(h, i), 64 - 63 + _PLACE), _PLACE).bitwiseOR((F.lit(last) - i).cast("bigint"))
     keys = F.when(F.size(h) > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - k, F.lit(0))), key)).otherwise(F.array().cast("array<bigint>"))
-    now = "__w_k"
+    now = "m"
     df = df.select(*keep, keys.alias(now))
-    for shift, name in _window_least("__w_m", w):
+    for shift, name in _window_least("m", w):
         df = df.select(*keep, _least_with(F.col(now), shift).alias(name))
         now = name
     a = F.col(now)
     chosen = F.array_distinct(F.slice(a, F.lit(1), F.greatest(F.size(a) - (w - 1), F.least(F.size(a), F.lit(1)))))
     place = lambda x: (F.lit(last) - x.bitwiseAND(F.lit(last).cast("bigint"))).cast("int")
-    return df.select(*keep, F.transform(chosen, lambda x: F.struct(F.shiftrightunsigned(x, _PLACE).alias("hash"), place(x).alias("pos"))).alias(out_col))
+    return df.select(*keep, F.transform(chosen, lambda x: F.struct(F.shiftrightunsigned(x, _PLACE).alias("hash"), place(x).alias("pos"))).alias("out")).toDF(*names, out_col)
 
 
 def as_text(fingerprint: Column) -> Column:
@@ -113,8 +132,8 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         )
     else:
         found = F.lit(0)
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(found)
-    firsts = ids.groupBy(bucket.alias("bucket")).agg(F.min("doc_id").alias("first")).orderBy("bucket").collect()  # a row for each bucket
+    bucket = F.when(F.col("doc_id").isNull(), F.lit(-1) - F.pmod(F.xxhash64("text"), F.lit(4096)).cast("int")).otherwise(found)  # without an id there is no order to keep
+    firsts = ids.groupBy(found.alias("bucket")).agg(F.min("doc_id").alias("first")).orderBy("bucket").collect()  # a row for each bucket
     before = [(r["first"], firsts[i - 1]["bucket"]) for i, r in enumerate(firsts)]
     guests = F.broadcast(docs.sparkSession.createDataFrame(before, "first bigint, guest int"))
     rows = plain.withColumn("bucket", bucket).join(guests, F.col("doc_id") == F.col("first"), "left")
@@ -130,6 +149,8 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     The edited text has the last quarter of the code points replaced by the
     first as many, or all, of the next document's text. Fingerprints are arrays of selected grams.
+    Null texts count as empty; two texts without grams are alike by 1, one with and one without by 0. Repeated rows keep a row each and follow each
+    other; rows with a null id have an empty next text. Other columns are left out; no rows give no rows.
     """
     n = F.length("text")
     part = F.floor(F.col("n_chars") / 4).cast("int")

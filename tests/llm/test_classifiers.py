@@ -1,11 +1,14 @@
+import random
+import re
 import zlib
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from quarry.llm import quality, queries, toxicity
-from quarry.llm.common import fold_of
+from quarry.llm.common import fold_of, pick
 
 SF = "/root/testdata/sf0.01"
 
@@ -33,6 +36,56 @@ def test_lexicon_matches_words_beginnings_and_exceptions():
     assert lex.score("idiot") > lex.score("idiot " + "word " * 500) > lex.score("word")
 
 
+def test_hits_against_a_naive_matcher():
+    """Every entry looked for at every place of folded random texts."""
+    rng = random.Random(2)
+    part = lambda n: "".join(rng.choice("ab1@") for _ in range(n))
+    for _ in range(300):
+        words = [part(rng.randrange(1, 5)) for _ in range(rng.randrange(25))]
+        entries = {rng.choice([" {} ", " {}"]).format(toxicity.fold(part(rng.randrange(1, 4))).strip()): float(rng.randrange(1, 9)) for _ in range(6)}
+        phrases = tuple({f" {toxicity.fold(a).strip()} {toxicity.fold(b).strip()} " for a, b in zip(words[::4], words[1::4])})
+        lex, folded = toxicity.Lexicon(entries, phrases), toxicity.fold(" ".join(words))
+        best = {}
+        for at in range(len(folded)):
+            for e, w in entries.items():
+                if folded.startswith(e, at) and (at not in best or best[at][0] < w):
+                    best[at] = (w, at + len(e) - 1)
+        for p in phrases:
+            if p not in entries:
+                for at in range(len(folded)):
+                    if folded.startswith(p, at):
+                        best = {k: v for k, v in best.items() if not (at <= k and k < at + len(p) - 1)}
+        assert {k: v[0] for k, v in lex.hits(folded).items()} == {k: v[0] for k, v in best.items()}
+
+
+def test_evidence_is_counted_exactly(spark, docs_of):
+    """A beginning of words counts with its fourth word however late that comes, on any partitioning."""
+    texts = [f"badda{'abc'[i % 3]} n{i} x{i}" for i in range(150)] + [f"n{i} baddad m{i}" for i in range(150, 160)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, f"clean words {i} here") for i in range(150)]
+    labels = spark.createDataFrame([(i, 1 if i < 1000 else 0) for i, _ in rows], "doc_id long, toxic int")
+    found = [toxicity.fit_lexicon(docs_of(rows, p), labels).weights for p in (1, 7)]
+    assert found[0] == found[1] and " badda" in found[0]
+
+
+def plain_statistics(t):
+    """The statistics by definition."""
+    t = t or ""
+    words, lines = re.split(r"[ \t\n\x0b\f\r]+", t), t.split("\n")
+    kind = lambda p: sum(bool(regex.match(p, c)) for c in t)
+    n, w, k = len(t), len(words), len(lines)
+    sign = r"[^\p{L}\p{N} \t\n\x0b\f\r]"
+    made = [n, w, n / w, len(set(words)) / w, sum(a == b for a, b in zip(words, words[1:])) / w, kind(sign) / max(n, 1), len(regex.findall(sign + "{2,}", t)) / w, kind(r"\p{Lu}") / max(n, 1),
+            kind(r"\p{N}") / max(n, 1), k, len(set(lines)) / k, len(re.split(r"[|{}<>\\]", t)) / w, len(re.findall(r"[.!?][ \t\n\x0b\f\r]", t)) / w, n / k]
+    return [float(x) for x in made]
+
+
+def test_statistics_against_plain_ones(spark, docs_of):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    docs += [(100_000 + i, t) for i, t in enumerate([None, "", " ", "\n\n", "a a a b", "É 9 ½ {x}|<y>", "!!! ## a.b. c! ", "中文。字 中文"])]
+    for r in quality.with_statistics(pick(docs_of(docs), "doc_id", "text"), "text", ("doc_id",)).collect():
+        assert np.allclose([r[k] for k in quality.FEATURES], plain_statistics(dict(docs)[r["doc_id"]])), r["doc_id"]
+
+
 def test_toxicity_edges(spark, docs_of):
     lex = toxicity.Lexicon({" idiot ": 9.0})
     rows = [(1, None), (2, ""), (3, "you idiot"), (3, "you idiot"), (None, "fine"), (4, "fine " * 20_000)]

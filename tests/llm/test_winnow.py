@@ -18,10 +18,13 @@ def brute(spark, units, k, w):
     if not units:
         return []
     h = [r["h"] for r in spark.createDataFrame([(i, u) for i, u in enumerate(units)], "i int, u string").orderBy("i").select(F.xxhash64("u").alias("h")).collect()]
-    grams = [h[i : i + k] for i in range(max(1, len(h) - k + 1))]
-    rows = spark.createDataFrame([(i, *(g + [None] * (k - len(g)))) for i, g in enumerate(grams)], "i int, " + ", ".join(f"c{j} long" for j in range(k)))
-    g = [r["g"] for r in rows.orderBy("i").select(F.xxhash64(*[f"c{j}" for j in range(k)]).alias("g")).collect()]
-    g = [(x % (1 << 64)) >> 31 for x in g]
+    turn = lambda x, by: ((x << by % 64) | (x >> (64 - by % 64))) % (1 << 64) if by % 64 else x
+    h, g = [x % (1 << 64) for x in h], []
+    for i in range(max(1, len(h) - k + 1)):
+        rolled = 0
+        for j in range(k):
+            rolled = turn(rolled, 1) ^ (h[i + j] if i + j < len(h) else 0)
+        g.append(rolled >> 31)
     chosen = []
     for a in range(max(1, len(g) - w + 1)):
         span = range(a, min(a + w, len(g)))
@@ -31,7 +34,7 @@ def brute(spark, units, k, w):
     return [(g[i], i) for i in chosen]
 
 
-@pytest.mark.parametrize("k, w", [(5, 4), (3, 5), (2, 1), (4, 7)])
+@pytest.mark.parametrize("k, w", [(5, 4), (3, 5), (2, 1), (4, 7), (1, 2), (7, 3)])
 def test_against_the_definition(spark, docs_of, k, w):
     rng = random.Random(k)
     texts = [" ".join(rng.choice("abc") for _ in range(n)) for n in (0, 1, 2, 5, 6, 9, 30, 80)]
@@ -79,5 +82,14 @@ def test_query(spark, small):
         t, n = d["text"], len(d["text"])
         edited = t[: n - n // 4] + (after["text"][: n // 4] if n // 4 else "")
         assert got[d["doc_id"]]["n_chars"] == n and got[d["doc_id"]]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        a, b, c = ({x.split(":")[0] for x in got[i][f].split()} for i, f in ((d["doc_id"], "fingerprint"), (d["doc_id"], "edited_fingerprint"), (after["doc_id"], "fingerprint")))
+        like = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
+        assert (got[d["doc_id"]]["near_edited"], got[d["doc_id"]]["near_next"]) == (like(a, b), like(a, c))
     near = [r["near_edited"] > r["near_next"] for r in got.values()]
     assert sum(near) / len(near) > 0.95
+
+
+def test_other_columns_keep_their_names(spark):
+    df = spark.createDataFrame([("a b c d e f", 1, 2, 3)], "text string, h1 int, m int, `c.0` int")
+    out = winnow.winnow(df, "text", "fp")
+    assert out.columns == ["text", "h1", "m", "c.0", "fp"] and out.first()[1:4] == (1, 2, 3)
