@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarry.llm import linededup, minhash, packing, quality, toxicity
-from quarry.llm.common import table, written
+from quarry.llm.common import forget, table, written
 
 #: Scores from which a document is rejected as toxic, and below which as poor.
 TOXIC, GOOD = 0.5, 0.3
@@ -20,12 +20,12 @@ TOKENIZER, CONTEXT = "word_bpe_49k.json", 2048
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below TOXIC."""
+    """Documents whose toxicity score is below TOXIC; null and empty texts have no hits and stay, repeated rows are treated alike."""
     return toxicity.keep_clean(docs, toxicity.fit_lexicon(docs, table(spark, sf_dir, "labels")), TOXIC)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is GOOD or more."""
+    """Documents whose quality score is GOOD or more; null texts are scored as empty ones, repeated rows are treated alike."""
     return quality.keep_good(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")), GOOD)
 
 
@@ -56,7 +56,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document stands in sequences of CONTEXT tokens."""
+    """Where each piece of each document stands in sequences of CONTEXT tokens; null and empty texts are one token, every row is packed."""
     return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER), CONTEXT)
 
 
@@ -72,10 +72,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; whole copies, which the line dedup empties, are left out after it."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; whole copies, which the line dedup empties, are left out after it. No documents give no rows."""
+    made = docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir, emptied=False) if stage is drop_repeated_lines else stage(spark, docs, sf_dir)
+        made = stage(spark, docs, sf_dir, emptied=False) if stage is drop_repeated_lines else stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = written(docs, name.replace(" ", "-"))
-    return docs
+            before, docs = docs, written(made, name.replace(" ", "-"))
+            forget(before)
+    return made
