@@ -3,12 +3,16 @@ import pathlib
 import random
 import re
 
+import duckdb
 import numpy as np
+import pandas as pd
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quarry.llm import linededup, quality, queries, toxicity
+from quarry.llm import linededup, quality, queries, sql, toxicity
 from quarry.llm.common import table, written
 
 SF = "/root/testdata/sf0.001"
@@ -173,7 +177,10 @@ def test_pipeline_stages(spark):
             good = {r["doc_id"] for r in quality.score_quality(docs, quality.fit_quality(docs, labels)).where("score >= 0.3").collect()}
             assert b == {i: a[i] for i in good}
         elif name == "line dedup":
-            assert a.keys() == b.keys()
+            con = duckdb.connect()
+            plain = pd.DataFrame({"doc_id": list(a), "text": list(a.values())})
+            con.register("documents", plain)
+            assert b == dict(con.execute(f"SELECT doc_id, text FROM ({sql.LINE_DEDUP})").fetchall())
             assert after.where(F.col("n_chars") != F.length("text")).count() == 0
         else:
             from test_neardup import brute
@@ -182,7 +189,27 @@ def test_pipeline_stages(spark):
             assert b == {i: a[i] for i, (_, _, k) in groups.items() if k}
         docs, kept = after, b
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
-    assert {r["doc_id"] for r in packed} == kept.keys()
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(corpus_pipeline.TOKENIZER))
+    tokenizer.encode_special_tokens = True
+    sizes = {i: len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in kept.items()}
+    assert {(r["doc_id"], r["piece"]): r["length"] for r in packed} == {(i, a // 2048): min(2048, n - a) for i, n in sizes.items() for a in range(0, n, 2048)}
+    ends = {}
+    for r in sorted(packed, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == ends.get(r["sequence_id"], 0)
+        ends[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(ends.values()) <= 2048 and len(ends) <= -(-sum(sizes.values()) // 2048) + 1
+
+
+def test_pipeline_with_odd_tables(spark, tmp_path):
+    """No documents; and null ids, texts and languages, empty texts and repeated rows: nothing crashes and every kept document is packed."""
+    docs = table(spark, SF, "documents")
+    rows = [(None, None, None, None, None), (1, None, "en", "a", 0), (2, "", None, None, 0), (2, "", None, None, 0), (3, "word " * 30, "en", "a", 150), (None, "Some text here.", "en", "a", 15)]
+    for name, given in (("none", docs.limit(0)), ("odd", spark.createDataFrame(rows, docs.schema))):
+        given.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        table(spark, SF, "labels").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert len(got) <= given.count() and all(r["length"] >= 1 for r in got)
+        assert name == "odd" or got == []
 
 
 def test_run_leaves_out_whole_copies(spark, monkeypatch, tmp_path):
