@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
@@ -20,9 +21,17 @@ _KEPT: dict[str, object] = {}
 
 
 def kept(name: str, make: Callable[[], object]) -> object:
-    """What a Python worker keeps from task to task, such as a cache: one thing at a time, as workers serve many operators."""
+    """What a Python worker keeps from task to task, such as a cache: one thing at a time, as workers serve many operators.
+
+    The room of what goes is given back to the system, where it has a call for that.
+    """
     if name not in _KEPT:
-        _KEPT.clear()
+        if _KEPT:
+            _KEPT.clear()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):
+                pass
         _KEPT[name] = make()
     return _KEPT[name]
 

@@ -142,8 +142,8 @@ def _entries(rows: DataFrame) -> dict[str, float]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-        near: dict[str, set[int]] = defaultdict(set)
-        kinds: dict[str, set[int]] = defaultdict(set)
+        near: dict[str, list[int]] = defaultdict(list)  # short lists take less room than sets
+        kinds: dict[str, list[int]] = defaultdict(list)
         for b in batches:  # a partition of a bounded sample
             for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 seen = set()
@@ -151,11 +151,11 @@ def _entries(rows: DataFrame) -> dict[str, float]:
                     if term not in seen:
                         seen.add(term)
                         docs[term][label] += 1
-                    if label and len(near[term]) < LEAST_CONTEXTS:  # as many as are asked for, so that more change nothing
-                        near[term].add(ctx)
-                    if label and len(kinds[term]) < LEAST_WORDS:
-                        kinds[term].add(own)
-        made = [pa.array(list(docs), pa.string()), *(pa.array([d[j] for d in docs.values()], pa.int64()) for j in (0, 1)), *(pa.array([list(x.get(t, ())) for t in docs], pa.list_(pa.int64())) for x in (near, kinds))]
+                    if label:
+                        for held, most, x in ((near[term], LEAST_CONTEXTS, ctx), (kinds[term], LEAST_WORDS, own)):
+                            if len(held) < most and x not in held:  # as many as are asked for: more change nothing
+                                held.append(x)
+        made = [pa.array(list(docs), pa.string()), *(pa.array([d[j] for d in docs.values()], pa.int64()) for j in (0, 1)), *(pa.array([x.get(t, []) for t in docs], pa.list_(pa.int64())) for x in (near, kinds))]
         yield pa.RecordBatch.from_arrays(made, names=["term", "clean", "toxic", "near", "kinds"])
 
     several = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
