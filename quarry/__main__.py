@@ -11,6 +11,7 @@ from quarry.operators import search, shards
 from quarry.operators.index import TextIndex
 from quarry.plans import explain
 from quarry.sources.corpus import load
+from quarry.storage import fresh_path
 
 TOP = 10
 
@@ -23,7 +24,7 @@ def answer(index: TextIndex, query: str, n_shards: int = 1) -> list[str]:
     if not matched:
         return ["No results."]
     if n_shards > 1:
-        n = index.corpus.first()["n_docs"]
+        n = index.sizes.first()["n_docs"]
         best = shards.merge_topk(shards.per_shard_topk(index, one, TOP, max(1, -(-n // n_shards))), TOP)
     else:
         best = search.search_batch(index, one, TOP)
@@ -37,15 +38,14 @@ def _lines(best: DataFrame) -> list[str]:
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="quarry", description=__doc__)
-    parser.add_argument("path", help="a .tsv file, a .parquet table, or a directory of .txt files")
+    parser.add_argument("path", help="a .tsv file, a .parquet table, or a directory of .txt files, such as documents/")
     parser.add_argument("--shards", type=int, default=1, help="contiguous parts that are searched apart and merged")
     parser.add_argument("words", nargs="*", help="a query; 'explain' before it shows what the query does")
     args = parser.parse_intermixed_args(argv)
     if args.shards < 1:
         parser.error("--shards must be 1 or more")
     spark = SparkSession.builder.appName("quarry").getOrCreate()
-    index = TextIndex.build(load(spark, args.path), name_col="name")
-    index = TextIndex(*(x.persist() for x in (index.postings, index.docs, index.terms, index.corpus)))
+    index = TextIndex.create(load(spark, args.path), fresh_path(spark, "index"), name_col="name")
 
     def say(query: str, explained: bool) -> None:
         if explained:

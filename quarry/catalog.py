@@ -7,16 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quarry.functions.bm25 import idf
-from quarry.functions.text import query_terms, token_stream, tokens, varint_length
+from quarry.functions.text import grouped_digits, human_bytes, micros, query_terms, token_stream, tokens, varint_length
 from quarry.operators import codec, search, shards
-from quarry.operators.index import TextIndex, corpus_stats, doc_stats, postings, term_stats
+from quarry.operators.index import TextIndex, doc_stats, postings, spread, term_stats
 from quarry.plans import explain, strategy
 from quarry.sources import generator
+from quarry.sources.corpus import numbered
+from quarry.storage import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-SHARD = 300
+#: Contiguous shards of the documents, a fixed number whatever their count.
+SHARDS = 8
+_SIZE = f"(SELECT greatest(1, ceil((max(doc_id) + 1) / {SHARDS}))::BIGINT FROM documents)"
 
 #: Word lists, postings and statistics of ``documents``.
 _P = r"""WITH tok AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+'), lambda w: lower(w)) AS w FROM documents),
@@ -42,13 +46,18 @@ def _sql_q(*asked: tuple[int, str]) -> str:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "n_chars"))
 
 
-def _index(spark: SparkSession, sf_dir: str, *asked: str) -> TextIndex:
-    """The index of ``documents``; with queries, of their words alone, which narrows it inside each row."""
-    only = sorted({w for q in asked for w in search.words_of(spark, q)}) if asked else None
-    return TextIndex.build(_docs(spark, sf_dir), only)
+_SAVED: dict[tuple[str, str], TextIndex] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str) -> TextIndex:
+    """The index of ``documents``, whole: made once a session and saved in the shared folder, then read from there by every query."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SAVED:
+        _SAVED[key] = TextIndex.create(spark.read.parquet(f"{sf_dir}/documents.parquet"), fresh_path(spark, "index"))
+    return _SAVED[key]
 
 
 def _table(spark: SparkSession, *asked: tuple[int, str]) -> DataFrame:
@@ -99,7 +108,7 @@ def query_terms_all(spark, sf_dir):
 @query(_P + "SELECT term, df, round(ln((1::FLOAT + ((n_docs::FLOAT - df::FLOAT + 0.5::FLOAT) / (df::FLOAT + 0.5::FLOAT))::FLOAT)::DOUBLE)::FLOAT::DOUBLE, 4) AS idf FROM t, s")
 def term_idf(spark, sf_dir):
     index = _index(spark, sf_dir)
-    n = F.broadcast(index.corpus.select("n_docs"))
+    n = F.broadcast(index.sizes.select("n_docs"))
     return index.terms.crossJoin(n).select("term", "df", F.round(idf(F.col("n_docs"), F.col("df")).cast("double"), 4).alias("idf"))
 
 
@@ -116,6 +125,12 @@ def postings_all(spark, sf_dir):
     return postings(_docs(spark, sf_dir)).select("term", "doc_id", F.col("tf").cast("long").alias("tf"))
 
 
+@query("SELECT doc_id, format('{:,}', n_chars) AS grouped, printf('%.2f µs', n_chars / 100.0::DOUBLE) AS micros, CASE WHEN n_chars * 7 < 1024 THEN printf('%d B', n_chars * 7) WHEN n_chars * 7 < 1048576 THEN printf('%.1f KB', floor(n_chars * 7 / 1024.0::DOUBLE * 10 + 0.5) / 10) ELSE printf('%.1f MB', floor(n_chars * 7 / 1048576.0::DOUBLE * 10 + 0.5) / 10) END AS bytes FROM documents")
+def number_formats(spark, sf_dir):
+    n = F.col("n_chars")
+    return _docs(spark, sf_dir).select("doc_id", grouped_digits(n).alias("grouped"), micros(n * 10).alias("micros"), human_bytes(n * 7).alias("bytes"))
+
+
 @query(_P + "SELECT doc_id, n AS len FROM d")
 def doc_lengths(spark, sf_dir):
     return doc_stats(_docs(spark, sf_dir)).select("doc_id", F.col("len").cast("long").alias("len"))
@@ -139,12 +154,12 @@ def term_df(spark, sf_dir):
 
 @query(_P + "SELECT doc_id, tf FROM p WHERE term = 'thanes'")
 def term_lookup(spark, sf_dir):
-    return _index(spark, sf_dir, "thanes").lookup("thanes").select("doc_id", F.col("tf").cast("long").alias("tf"))
+    return _index(spark, sf_dir).lookup("thanes").select("doc_id", F.col("tf").cast("long").alias("tf"))
 
 
 @query(_P + "SELECT doc_id, tf FROM p WHERE term = 'the' AND doc_id IN (SELECT doc_id FROM p WHERE term = 'of')")
 def tf_for_docs(spark, sf_dir):
-    index = _index(spark, sf_dir, "the of")
+    index = _index(spark, sf_dir)
     return index.tf_for("the", index.lookup("of").select("doc_id")).select("doc_id", F.col("tf").cast("long").alias("tf"))
 
 
@@ -159,22 +174,67 @@ b AS (SELECT term, block, min(doc_id) AS first_doc, count(*) AS entries, sum((CA
 
 @query(_GAPS + "SELECT term, doc_id, pos::BIGINT AS pos, block::BIGINT AS block, gap::BIGINT AS gap FROM g")
 def posting_gaps(spark, sf_dir):
-    return codec.gaps(postings(_docs(spark, sf_dir))).select("term", "doc_id", F.col("pos").cast("long").alias("pos"), F.col("block").cast("long").alias("block"), "gap")
+    return codec.gaps(_index(spark, sf_dir).postings).select("term", "doc_id", F.col("pos").cast("long").alias("pos"), F.col("block").cast("long").alias("block"), "gap")
 
 
 @query(_P + "SELECT term, doc_id, tf FROM p")
 def gap_decode_roundtrip(spark, sf_dir):
-    return codec.decode(codec.gaps(postings(_docs(spark, sf_dir)))).select("term", "doc_id", F.col("tf").cast("long").alias("tf"))
+    return codec.decode(codec.gaps(_index(spark, sf_dir).postings)).select("term", "doc_id", F.col("tf").cast("long").alias("tf"))
 
 
 @query(_GAPS + "SELECT term, block::BIGINT AS block, first_doc, coalesce(sum(bytes) OVER (PARTITION BY term ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM b")
 def skip_table(spark, sf_dir):
-    return codec.skip_table(codec.gaps(postings(_docs(spark, sf_dir)))).select("term", F.col("block").cast("long").alias("block"), "first_doc", "offset")
+    return codec.skip_table(codec.gaps(_index(spark, sf_dir).postings)).select("term", F.col("block").cast("long").alias("block"), "first_doc", "offset")
 
 
 @query(_GAPS + "SELECT count(DISTINCT term) AS lists, count(*) AS blocks, sum(bytes + 8)::BIGINT AS bytes FROM b")
 def posting_bytes(spark, sf_dir):
-    return codec.used_bytes(codec.gaps(postings(_docs(spark, sf_dir))))
+    return codec.used_bytes(codec.gaps(_index(spark, sf_dir).postings))
+
+
+_PROBES = ", ".join(f"('{w}', {d}::BIGINT)" for w in ("the", "of", "thanes", "zebra") for d in (0, 3, 64, 191, 500, 777, 999, 123_456))
+
+
+def _wanted(spark) -> DataFrame:
+    return spark.createDataFrame([(w, d) for w in ("the", "of", "thanes", "zebra") for d in (0, 3, 64, 191, 500, 777, 999, 123_456)], "term string, doc_id long")
+
+
+@query(_GAPS + "SELECT term, block::BIGINT AS block, first_doc, entries::BIGINT AS entries, bytes FROM b")
+def encoded_blocks(spark, sf_dir):
+    """Blocks as varint bytes; their lengths against the sum of the lengths of their varints."""
+    blocks = codec.encode(codec.gaps(_index(spark, sf_dir).postings))
+    return blocks.select("term", F.col("block").cast("long").alias("block"), "first_doc", "entries", F.length("data").cast("long").alias("bytes"))
+
+
+@query(_P + "SELECT term, doc_id, tf FROM p")
+def block_bytes_roundtrip(spark, sf_dir):
+    """Every list, encoded to bytes and decoded."""
+    return codec.unpack(codec.encode(codec.gaps(_index(spark, sf_dir).postings))).select("term", "doc_id", F.col("tf").cast("long").alias("tf"))
+
+
+@query(_P + f"SELECT term, doc_id, tf FROM p JOIN (VALUES {_PROBES}) v(term, doc_id) USING (term, doc_id)")
+def cursor_find(spark, sf_dir):
+    """Ids looked for in encoded lists by the skip entries."""
+    blocks = codec.encode(codec.gaps(_index(spark, sf_dir).postings.where(F.col("term").isin("the", "of", "thanes", "zebra"))))
+    return codec.find(blocks, _wanted(spark)).select("term", "doc_id", F.col("tf").cast("long").alias("tf"))
+
+
+def _lists_of(spark, sf_dir, small: str, large: str) -> tuple[DataFrame, DataFrame]:
+    """(encoded list of ``large``, ids of ``small`` to be looked for in it)."""
+    index = _index(spark, sf_dir)
+    return codec.encode(codec.gaps(index.postings.where(F.col("term") == large))), index.lookup(small).select(F.lit(large).alias("term"), "doc_id")
+
+
+@query(_P + "SELECT doc_id FROM p WHERE term IN ('the', 'thanes') GROUP BY doc_id HAVING count(*) = 2")
+def block_intersect(spark, sf_dir):
+    """A short list against an encoded long one: only blocks that may hold a candidate are decoded."""
+    return codec.find(*_lists_of(spark, sf_dir, "thanes", "the")).select("doc_id")
+
+
+@query(_P + "SELECT doc_id FROM p WHERE term IN ('the', 'of') GROUP BY doc_id HAVING count(*) = 2")
+def block_merge(spark, sf_dir):
+    """Two long lists: one is decoded block by block and merged with the other."""
+    return codec.merge(*_lists_of(spark, sf_dir, "of", "the")).select("doc_id")
 
 
 # Conjunctions
@@ -187,39 +247,39 @@ def _and_sql(*words: str) -> str:
 
 @query(_and_sql("the", "of"))
 def and_merge(spark, sf_dir):
-    return search.boolean_chain(_index(spark, sf_dir, "the of"), "the of", hint="merge")
+    return search.boolean_chain(_index(spark, sf_dir), "the of", "Merge")
 
 
 @query(_and_sql("the", "thanes"))
 def and_gallop(spark, sf_dir):
-    return search.boolean_probe(_index(spark, sf_dir, "the thanes"), "the thanes")
+    return search.boolean_chain(_index(spark, sf_dir), "the thanes", "Gallop")
 
 
 @query(_and_sql("the", "of", "thanes"))
 def and_adaptive(spark, sf_dir):
-    return search.boolean_chain(_index(spark, sf_dir, "the of thanes"), "the of thanes")
+    return search.boolean_chain(_index(spark, sf_dir), "the of thanes", "Adaptive")
 
 
 @query(_and_sql("the", "of", "in"))
 def and_having(spark, sf_dir):
-    return search.boolean(_index(spark, sf_dir, "the of in"), "the of in")
+    return search.boolean(_index(spark, sf_dir), "the of in")
 
 
 @query(_and_sql("the", "of", "in"))
 def and_semi_chain(spark, sf_dir):
-    return search.boolean_chain(_index(spark, sf_dir, "the of in"), "the of in")
+    return search.boolean_chain(_index(spark, sf_dir), "the of in")
 
 
 @query(_and_sql("the", "of", "in"))
 def and_intersect(spark, sf_dir):
-    return search.boolean_intersect(_index(spark, sf_dir, "the of in"), "the of in")
+    return search.boolean_intersect(_index(spark, sf_dir), "the of in")
 
 
 for _name, _text in {"boolean_and_1term": "thered", "boolean_and_2term": "The, OF!", "boolean_and_3term": "the of and of", "boolean_unknown": "the zebra"}.items():
     _words = {"boolean_and_1term": ("thered",), "boolean_and_2term": ("the", "of"), "boolean_and_3term": ("the", "of", "and"), "boolean_unknown": ("the", "zebra")}[_name]
 
     def _boolean(spark, sf_dir, _text=_text):
-        return search.boolean(_index(spark, sf_dir, _text), _text)
+        return search.boolean(_index(spark, sf_dir), _text)
 
     _boolean.__name__ = _name
     query(_and_sql(*_words))(_boolean)
@@ -227,13 +287,13 @@ for _name, _text in {"boolean_and_1term": "thered", "boolean_and_2term": "The, O
 
 @query(_P + "SELECT doc_id FROM p WHERE false")
 def boolean_empty(spark, sf_dir):
-    return search.boolean(_index(spark, sf_dir, "!!!"), "!!!")
+    return search.boolean(_index(spark, sf_dir), "!!!")
 
 
 @query(_P + """SELECT a.term AS term_a, b.term AS term_b, a.df AS df_a, b.df AS df_b, CASE WHEN greatest(a.df, b.df) >= 16 * least(a.df, b.df) THEN 'Gallop' ELSE 'Merge' END AS algorithm
 FROM t a, t b WHERE a.term IN ('the', 'of', 'in', 'thanes', 'enerha') AND b.term IN ('the', 'of', 'in', 'thanes', 'enerha') AND a.term < b.term""")
 def strategy_choice(spark, sf_dir):
-    t = _index(spark, sf_dir, "the of in thanes enerha").terms
+    t = _index(spark, sf_dir).terms.where(F.col("term").isin("the", "of", "in", "thanes", "enerha"))
     a, b = t.select(F.col("term").alias("term_a"), F.col("df").alias("df_a")), t.select(F.col("term").alias("term_b"), F.col("df").alias("df_b"))
     return a.join(b, F.col("term_a") < F.col("term_b")).withColumn("algorithm", strategy.algorithm(F.col("df_a"), F.col("df_b")))
 
@@ -247,7 +307,7 @@ def _ranked_sql(asked: str, k: int) -> str:
 
 @query(_ranked_sql("the of", 10))
 def bm25_top10(spark, sf_dir):
-    return search.search_ranked(_index(spark, sf_dir, "the of"), "the of", 10).select("doc_id", _shown())
+    return search.search_ranked(_index(spark, sf_dir), "the of", 10).select("doc_id", _shown())
 
 
 for _name, (_text, _k) in {
@@ -256,7 +316,7 @@ for _name, (_text, _k) in {
 }.items():
 
     def _ranked(spark, sf_dir, _text=_text, _k=_k):
-        return search.search_ranked(_index(spark, sf_dir, _text), _text, _k).select("doc_id", _shown())
+        return search.search_ranked(_index(spark, sf_dir), _text, _k).select("doc_id", _shown())
 
     _ranked.__name__ = _name
     query(_ranked_sql(_text, _k))(_ranked)
@@ -266,22 +326,22 @@ _CLASSES = ((0, "the of"), (1, "in thanes"), (2, "the enerha"), (3, "thanes ther
 
 @query(_sql_q(*_CLASSES) + 'SELECT qid, term, df, round(idf::DOUBLE, 4) AS idf, ord FROM w')
 def weigh_query(spark, sf_dir):
-    return search.weigh(_index(spark, sf_dir, *(q for _, q in _CLASSES)), _table(spark, *_CLASSES)).select("qid", "term", "df", F.round(F.col("idf").cast("double"), 4).alias("idf"), "ord")
+    return search.weigh(_index(spark, sf_dir), _table(spark, *_CLASSES)).select("qid", "term", "df", F.round(F.col("idf").cast("double"), 4).alias("idf"), "ord")
 
 
 @query(_sql_q(*_CLASSES) + "SELECT qid, doc_id, round(score::DOUBLE, 4) AS score FROM h")
 def bm25_scores_all(spark, sf_dir):
-    return search.scores(_index(spark, sf_dir, *(q for _, q in _CLASSES)), _table(spark, *_CLASSES)).select("qid", "doc_id", _shown())
+    return search.scores(_index(spark, sf_dir), _table(spark, *_CLASSES)).select("qid", "doc_id", _shown())
 
 
 @query(_sql_q(*_CLASSES) + "SELECT qid, rank, doc_id, round(score::DOUBLE, 4) AS score FROM r WHERE rank <= 10")
 def batch_bm25_top10(spark, sf_dir):
-    return search.search_batch(_index(spark, sf_dir, *(q for _, q in _CLASSES)), _table(spark, *_CLASSES), 10).select("qid", "rank", "doc_id", _shown())
+    return search.search_batch(_index(spark, sf_dir), _table(spark, *_CLASSES), 10).select("qid", "rank", "doc_id", _shown())
 
 
 @query(_sql_q(*_CLASSES) + "SELECT q.qid, count(h.doc_id) AS matched FROM q LEFT JOIN h ON h.qid = q.qid GROUP BY q.qid")
 def bm25_matched(spark, sf_dir):
-    return search.matched(_index(spark, sf_dir, *(q for _, q in _CLASSES)), _table(spark, *_CLASSES))
+    return search.matched(_index(spark, sf_dir), _table(spark, *_CLASSES))
 
 
 _BENCH_Q = _P + ", q AS (SELECT item_id AS qid, text AS query FROM benchmark),\n" + _Q.split("),\n", 1)[1].replace("{{", "{").replace("}}", "}")
@@ -297,47 +357,53 @@ def benchmark_search(spark, sf_dir):
 # Shards
 
 
-@query(f"SELECT doc_id // {SHARD} AS shard, count(*) AS docs FROM documents GROUP BY 1")
+def _shard_size(spark: SparkSession, sf_dir: str) -> int:
+    """Ids of a shard."""
+    top = spark.read.parquet(f"{sf_dir}/documents.parquet").agg(F.max("doc_id")).first()[0]
+    return max(1, -(-((top or 0) + 1) // SHARDS))
+
+
+@query(f"SELECT doc_id // {_SIZE} AS shard, count(*) AS docs FROM documents GROUP BY 1")
 def docs_per_shard(spark, sf_dir):
-    return shards.docs_per_shard(_docs(spark, sf_dir), SHARD).select(F.col("shard").cast("long").alias("shard"), "docs")
+    return shards.docs_per_shard(_docs(spark, sf_dir), _shard_size(spark, sf_dir)).select(F.col("shard").cast("long").alias("shard"), "docs")
 
 
-_BASES = f"""WITH b0 AS (SELECT doc_id // {SHARD} AS shard, count(*) AS docs FROM documents GROUP BY 1),
+_BASES = f"""WITH b0 AS (SELECT doc_id // {_SIZE} AS shard, count(*) AS docs FROM documents GROUP BY 1),
 b AS (SELECT shard, docs, coalesce(sum(docs) OVER (ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS base FROM b0)
 """
 
 
 @query(_BASES + "SELECT shard, docs, base FROM b")
 def shard_bases(spark, sf_dir):
-    return shards.bases(shards.docs_per_shard(_docs(spark, sf_dir), SHARD)).select(F.col("shard").cast("long").alias("shard"), "docs", "base")
+    return shards.bases(shards.docs_per_shard(_docs(spark, sf_dir), _shard_size(spark, sf_dir))).select(F.col("shard").cast("long").alias("shard"), "docs", "base")
 
 
 @query(_BASES + "SELECT doc_id, shard, doc_id - base AS local_id FROM documents ASOF JOIN b ON documents.doc_id >= b.base")
 def shard_of_doc(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    return shards.locate(docs.select("doc_id"), shards.bases(shards.docs_per_shard(docs, SHARD))).select("doc_id", F.col("shard").cast("long").alias("shard"), "local_id")
+    return shards.locate(docs.select("doc_id"), shards.bases(shards.docs_per_shard(docs, _shard_size(spark, sf_dir)))).select("doc_id", F.col("shard").cast("long").alias("shard"), "local_id")
 
 
 @query(_P + "SELECT doc_id, 'd' || doc_id AS name FROM p WHERE term = 'thanes'")
 def doc_name_join(spark, sf_dir):
-    index = _index(spark, sf_dir, "thanes")
+    index = _index(spark, sf_dir)
     return index.lookup("thanes").select("doc_id").join(index.docs.select("doc_id", "name"), "doc_id")
 
 
-@query(_sql_q((0, "the of")) + f"SELECT doc_id // {SHARD} AS shard, row_number() OVER (PARTITION BY doc_id // {SHARD} ORDER BY score DESC, doc_id)::INT AS rank, doc_id, round(score::DOUBLE, 4) AS score FROM h QUALIFY rank <= 3")
+@query(_sql_q((0, "the of")) + f"SELECT doc_id // {_SIZE} AS shard, row_number() OVER (PARTITION BY doc_id // {_SIZE} ORDER BY score DESC, doc_id)::INT AS rank, doc_id, round(score::DOUBLE, 4) AS score FROM h QUALIFY rank <= 3")
 def per_shard_topk(spark, sf_dir):
-    return shards.per_shard_topk(_index(spark, sf_dir, "the of"), _table(spark, (0, "the of")), 3, SHARD).select(F.col("shard").cast("long").alias("shard"), "rank", "doc_id", _shown())
+    return shards.per_shard_topk(_index(spark, sf_dir), _table(spark, (0, "the of")), 3, _shard_size(spark, sf_dir)).select(F.col("shard").cast("long").alias("shard"), "rank", "doc_id", _shown())
 
 
 @query(_ranked_sql("the of", 10))
 def sharded_bm25_top10(spark, sf_dir):
-    best = shards.per_shard_topk(_index(spark, sf_dir, "the of"), _table(spark, (0, "the of")), 10, SHARD)
+    best = shards.per_shard_topk(_index(spark, sf_dir), _table(spark, (0, "the of")), 10, _shard_size(spark, sf_dir))
     return shards.merge_topk(best, 10).select("doc_id", _shown())
 
 
 @query(_P + "SELECT term, df FROM t")
 def merged_df(spark, sf_dir):
-    return shards.merged_df(postings(_docs(spark, sf_dir)), SHARD)
+    return shards.merged_df(postings(_docs(spark, sf_dir)), _shard_size(spark, sf_dir))
 
 
 _DFS = ((0, [1000]), (1, [50, 30000]), (2, [500, 30000]), (3, [20000, 50000]), (4, [50, 20000]), (5, [50, 20000, 50000]), (6, []))
@@ -368,7 +434,7 @@ def fanout_decision(spark, sf_dir):
 
 @query(_sql_q(*_CLASSES) + "SELECT qid, ord, term, df, round(idf::DOUBLE, 4) AS idf FROM w")
 def explain_terms(spark, sf_dir):
-    return explain.terms(_index(spark, sf_dir, *(q for _, q in _CLASSES)), _table(spark, *_CLASSES)).withColumn("idf", F.round(F.col("idf").cast("double"), 4))
+    return explain.terms(_index(spark, sf_dir), _table(spark, *_CLASSES)).withColumn("idf", F.round(F.col("idf").cast("double"), 4))
 
 
 _STEPS = """, x AS (SELECT w.qid, p.doc_id, ord, row_number() OVER (PARTITION BY w.qid, p.doc_id ORDER BY ord) AS k FROM w JOIN p ON p.term = w.term),
@@ -380,12 +446,25 @@ SELECT qid, ord - 1 AS step, term, candidates, df, CASE WHEN greatest(candidates
 
 @query(_sql_q(*_CLASSES) + _STEPS)
 def explain_steps(spark, sf_dir):
-    return explain.steps(_index(spark, sf_dir, *(q for _, q in _CLASSES)), _table(spark, *_CLASSES))
+    return explain.steps(_index(spark, sf_dir), _table(spark, *_CLASSES))
+
+
+_ASKED = "the of thanes"
+_LINES = _STEPS.replace("SELECT qid, ord - 1 AS step", ", st AS (SELECT qid, ord - 1 AS step", 1) + """),
+nm AS (SELECT (SELECT count(*) FROM w) AS words, (SELECT count(*) FROM st) AS steps, (SELECT count(*) FROM h) AS hits),
+said AS (SELECT 0 AS a, 0 AS b, 'Query: ''the of thanes'', best 10' AS text
+  UNION ALL SELECT 1, 0, 'Words, rarest first:'
+  UNION ALL SELECT 2, ord, '  ' || ord || '. ' || term || ': ' || CASE WHEN df > 0 THEN 'in ' || format('{:,}', df) || ' documents, idf ' || printf('%.3f', idf::DOUBLE) ELSE 'in no document' END FROM w
+  UNION ALL SELECT 3, step, 'Step ' || step || ': ' || format('{:,}', candidates) || ' candidates AND ' || term || ' (' || format('{:,}', df) || ') by ' || algorithm || ': ' || format('{:,}', matched) || ' left' FROM st
+  UNION ALL SELECT 4, 0, 'No candidates were left for the other words; their lists aren''t read.' FROM nm WHERE steps < words - 1
+  UNION ALL SELECT 5, 0, 'Scored ' || format('{:,}', hits) || ' documents; ' || CASE WHEN hits <= 10 THEN 'all of them are sorted.' ELSE 'the best 10 are kept in a heap.' END FROM nm
+  UNION ALL SELECT 6, rank, '  ' || rank || '. document ' || doc_id || ', score ' || printf('%.3f', score::DOUBLE) FROM r WHERE rank <= 10)
+SELECT (row_number() OVER (ORDER BY a, b) - 1)::INT AS line, text FROM said"""
 
 
-@query()
+@query(_sql_q((0, _ASKED)) + _LINES)
 def explain_text(spark, sf_dir):
-    said = explain.text(_index(spark, sf_dir, "the of thanes"), "the of thanes", 10)
+    said = explain.text(_index(spark, sf_dir), _ASKED, 10)
     return spark.createDataFrame([(i, x) for i, x in enumerate(said.split("\n"))], "line int, text string")
 
 
@@ -393,15 +472,8 @@ def explain_text(spark, sf_dir):
 
 
 def _by_df(terms: DataFrame) -> DataFrame:
-    """(term, df, rank) by falling df, then term, from 0. Ranks come from counts of each df, so that no task sorts the vocabulary."""
-    per = terms.groupBy("df").agg(F.count("*").alias("n"))
-    base = per.select("df", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("df")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    own = Window.partitionBy("df", "head").orderBy("term")
-    heads = terms.withColumn("head", F.substring("term", 1, 2))
-    sizes = heads.groupBy("df", "head").agg(F.count("*").alias("n"))
-    start = sizes.select("df", "head", F.coalesce(F.sum("n").over(Window.partitionBy("df").orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    ranked = heads.withColumn("k", F.row_number().over(own) - 1).join(start, ["df", "head"]).join(base, "df")
-    return ranked.select("term", "df", (F.col("base") + F.col("start") + F.col("k")).cast("long").alias("rank"))
+    """(term, df, rank) by falling df, then term, from 0. Ranks come from counts by ranges of that order, so that no task sorts the vocabulary."""
+    return numbered(terms, [F.desc("df"), F.asc("term")]).select("term", "df", F.col("doc_id").alias("rank"))
 
 
 _RANKED = _P + ", k AS (SELECT term, df, row_number() OVER (ORDER BY df DESC, term) - 1 AS rank FROM t)\n"
@@ -409,19 +481,19 @@ _RANKED = _P + ", k AS (SELECT term, df, row_number() OVER (ORDER BY df DESC, te
 
 @query(_RANKED + "SELECT term, df, rank FROM k")
 def terms_by_df(spark, sf_dir):
-    return _by_df(term_stats(postings(_docs(spark, sf_dir))))
+    return _by_df(_index(spark, sf_dir).terms)
 
 
 @query(_RANKED + "SELECT term, df FROM k WHERE rank < 20")
 def top_terms(spark, sf_dir):
-    return term_stats(postings(_docs(spark, sf_dir))).orderBy(F.desc("df"), "term").limit(20)
+    return _index(spark, sf_dir).terms.orderBy(F.desc("df"), "term").limit(20)
 
 
 @query(_RANKED + """, m AS (SELECT count(*) AS n FROM k)
 SELECT term, df, CASE WHEN rank < floor(0.002 * n) THEN 'common' WHEN rank >= floor(0.02 * n) AND rank < floor(0.1 * n) THEN 'mid' ELSE 'rare' END AS class FROM k, m
 WHERE rank < floor(0.002 * n) OR (rank >= floor(0.02 * n) AND rank < floor(0.1 * n)) OR (rank >= floor(0.3 * n) AND rank < floor(0.6 * n))""")
 def term_buckets(spark, sf_dir):
-    terms = term_stats(postings(_docs(spark, sf_dir)))
+    terms = _index(spark, sf_dir).terms
     rows = _by_df(terms).crossJoin(F.broadcast(terms.agg(F.count("*").alias("n"))))
     at = lambda share: F.floor(F.lit(share) * F.col("n"))
     r = F.col("rank")
@@ -432,14 +504,14 @@ def term_buckets(spark, sf_dir):
 @query(_RANKED + ", m AS (SELECT greatest(count(*) // 500, 1) AS step FROM k) SELECT term, df, rank FROM k, m WHERE rank % step = 0")
 def term_sample(spark, sf_dir):
     """Every (n / 500)th word by document count: a sampling operator."""
-    terms = term_stats(postings(_docs(spark, sf_dir)))
+    terms = _index(spark, sf_dir).terms
     step = terms.agg(F.greatest(F.floor(F.count("*") / 500), F.lit(1)).alias("step"))
     return _by_df(terms).crossJoin(F.broadcast(step)).where(F.col("rank") % F.col("step") == 0).select("term", "df", "rank")
 
 
 @query(_RANKED + "SELECT target, arg_min(term, (abs(df - target), rank)) AS term, arg_min(df, (abs(df - target), rank)) AS df FROM k, (SELECT unnest([1, 10, 50, 200]) AS target) WHERE rank > 0 GROUP BY target")
 def closest_df(spark, sf_dir):
-    rows = _by_df(term_stats(postings(_docs(spark, sf_dir)))).where("rank > 0")
+    rows = _by_df(_index(spark, sf_dir).terms).where("rank > 0")
     near = lambda c: [F.min_by(c, F.struct(F.abs(F.col("df") - t), F.col("rank"))) for t in (1, 10, 50, 200)]
     one = rows.agg(*[x.alias(f"t{i}") for i, x in enumerate(near(F.struct("term", "df")))])
     found = F.array(*[F.struct(F.lit(t).alias("target"), F.col(f"t{i}.term").alias("term"), F.col(f"t{i}.df").alias("df")) for i, t in enumerate((1, 10, 50, 200))])
@@ -449,7 +521,7 @@ def closest_df(spark, sf_dir):
 @query(_P + """, n AS (SELECT target, term, df, row_number() OVER (PARTITION BY target ORDER BY abs(df - target), term) AS k FROM t, (SELECT unnest([5, 50, 500]) AS target))
 SELECT target, count(*) AS n, floor(avg(df))::BIGINT AS mean_df, min(term) AS first_term FROM n WHERE k <= 20 GROUP BY target""")
 def nearest_df_terms(spark, sf_dir):
-    terms = term_stats(postings(_docs(spark, sf_dir)))
+    terms = _index(spark, sf_dir).terms
     each = None
     for t in (5, 50, 500):
         best = terms.withColumn("target", F.lit(t)).orderBy(F.abs(F.col("df") - t), "term").limit(20)
@@ -472,6 +544,15 @@ def zipf_cdf(spark, sf_dir):
     return generator.zipf_cdf(spark, 5000).select("id", F.round("cdf", 6).alias("cdf"))
 
 
-@query()
+@query("SELECT 500 AS docs, 0 AS first_id, 499 AS last_id, 0 AS bad_names, 0 AS bad_lengths, 0 AS bad_words, 'term0' AS commonest")
 def generated_corpus(spark, sf_dir):
-    return generator.generate(spark, 500)
+    """What holds for a generated corpus of 500 documents whatever the draws: ids, names, lengths, words, and the commonest word."""
+    docs = generator.generate(spark, 500)
+    words = F.split("text", " ")
+    rows = docs.select("doc_id", words.alias("w"), (F.col("name") != F.format_string("doc%07d.txt", F.col("doc_id"))).cast("int").alias("n"))
+    whole = rows.agg(
+        F.count("*").cast("int").alias("docs"), F.min("doc_id").cast("int").alias("first_id"), F.max("doc_id").cast("int").alias("last_id"), F.sum("n").cast("int").alias("bad_names"),
+        F.sum((~F.size("w").between(60, 199)).cast("int")).cast("int").alias("bad_lengths"), F.sum(F.size(F.filter("w", lambda x: ~x.rlike("^term[0-9]{1,5}$")))).cast("int").alias("bad_words"),
+    )
+    top = rows.select(F.explode("w").alias("commonest")).groupBy("commonest").count().orderBy(F.desc("count"), "commonest").limit(1)
+    return whole.crossJoin(top.select("commonest"))

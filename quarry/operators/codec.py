@@ -1,20 +1,33 @@
-"""Posting lists as blocks of gaps: the layout and size of a delta and varint encoding, by window functions."""
+"""Posting lists as blocks of gaps in varint bytes, with a skip table, in DataFrame functions only.
+
+Positions in a list come from counts of its pieces, which are ranges of PIECE ids, so that no task sorts a whole list.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quarry.functions.text import varint_length
 
 BLOCK = 64
 #: Bytes of a skip entry: first id and offset.
 SKIP_BYTES = 8
+#: Ids of a piece of a list, and of a range by which blocks are met with the ids looked for.
+PIECE, REACH = 65_536, 4_096
 
 
 def gaps(posts: DataFrame) -> DataFrame:
-    """(term, doc_id, tf, pos, block, gap): the gap to the document before within a block of BLOCK, 0 at its start."""
-    whole = Window.partitionBy("term").orderBy("doc_id")
-    rows = posts.select("term", "doc_id", "tf", (F.row_number().over(whole) - 1).alias("pos"), F.lag("doc_id").over(whole).alias("prior"))
+    """(term, doc_id, tf, pos, block, gap): the gap to the document before within a block of BLOCK, 0 at its start.
+
+    Each (term, doc_id) once; no rows give no rows. Rows are sorted within pieces; only one row a piece is sorted by list.
+    """
+    rows = posts.select("term", "doc_id", "tf", F.floor(F.col("doc_id") / PIECE).alias("piece"))
+    within, along = Window.partitionBy("term", "piece").orderBy("doc_id"), Window.partitionBy("term").orderBy("piece")
+    pieces = rows.groupBy("term", "piece").agg(F.count("*").alias("n"), F.max("doc_id").alias("end"))
+    pieces = pieces.select("term", "piece", (F.sum("n").over(along) - F.col("n")).alias("base"), F.lag("end").over(along).alias("before")).where("base > 0")
+    rows = rows.select("term", "piece", "doc_id", "tf", (F.row_number().over(within) - 1).alias("k"), F.lag("doc_id").over(within).alias("prior"))
+    rows = rows.join(pieces, ["term", "piece"], "left")
+    rows = rows.select("term", "doc_id", "tf", (F.coalesce("base", F.lit(0)) + F.col("k")).alias("pos"), F.coalesce("prior", "before").alias("prior"))
     first = F.col("pos") % BLOCK == 0
     return rows.select("term", "doc_id", "tf", "pos", F.floor(F.col("pos") / BLOCK).cast("int").alias("block"), F.when(first, F.lit(0)).otherwise(F.col("doc_id") - F.col("prior")).cast("long").alias("gap"))
 
@@ -33,11 +46,73 @@ def block_bytes(gap_rows: DataFrame) -> DataFrame:
 
 
 def skip_table(gap_rows: DataFrame) -> DataFrame:
-    """(term, block, first_doc, offset): where each block's bytes begin in its list."""
-    before = Window.partitionBy("term").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    return block_bytes(gap_rows).select("term", "block", "first_doc", F.coalesce(F.sum("bytes").over(before), F.lit(0)).cast("long").alias("offset"))
+    """(term, block, first_doc, offset): where each block's bytes begin in its list. Blocks are sorted by parts of BLOCK * BLOCK of them."""
+    blocks = block_bytes(gap_rows).withColumn("part", F.floor(F.col("block") / (BLOCK * BLOCK)))
+    along = Window.partitionBy("term").orderBy("part")
+    parts = blocks.groupBy("term", "part").agg(F.sum("bytes").alias("n"))
+    parts = parts.select("term", "part", (F.sum("n").over(along) - F.col("n")).alias("base")).where("base > 0")
+    within = Window.partitionBy("term", "part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    rows = blocks.withColumn("k", F.coalesce(F.sum("bytes").over(within), F.lit(0))).join(parts, ["term", "part"], "left")
+    return rows.select("term", "block", "first_doc", (F.coalesce("base", F.lit(0)) + F.col("k")).cast("long").alias("offset"))
 
 
 def used_bytes(gap_rows: DataFrame) -> DataFrame:
     """(lists, blocks, bytes): one row for the whole index, skip entries included."""
-    return block_bytes(gap_rows).agg(F.countDistinct("term").alias("lists"), F.count("*").alias("blocks"), F.coalesce(F.sum(F.col("bytes") + SKIP_BYTES), F.lit(0)).cast("long").alias("bytes"))
+    by_list = block_bytes(gap_rows).groupBy("term").agg(F.count("*").alias("blocks"), F.sum(F.col("bytes") + SKIP_BYTES).alias("bytes"))
+    return by_list.agg(F.count("*").alias("lists"), F.coalesce(F.sum("blocks"), F.lit(0)).cast("long").alias("blocks"), F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("bytes"))
+
+
+def varint(value: Column) -> Column:
+    """Hex digits of an unsigned value below 2 ** 35, 7 bits a byte, lowest first, the top bit set in all but the last."""
+    size = varint_length(value)
+    byte = lambda k: F.shiftright(value, 7 * k).bitwiseAND(F.lit(127)) + F.when(size > k + 1, F.lit(128)).otherwise(F.lit(0))
+    return F.concat(*[F.when(size > k, F.lpad(F.hex(byte(k)), 2, "0")).otherwise(F.lit("")) for k in range(5)])
+
+
+def encode(gap_rows: DataFrame) -> DataFrame:
+    """(term, block, first_doc, entries, data binary): each block's gaps and counts as varints, by turns. Ids must lie within 2 ** 35 of the one before."""
+    entry = F.struct("pos", F.concat(varint(F.col("gap")), varint(F.col("tf").cast("long"))).alias("hex"))
+    blocks = gap_rows.groupBy("term", "block").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("entries"), F.array_sort(F.collect_list(entry)).alias("e"))  # BLOCK entries
+    return blocks.select("term", "block", "first_doc", "entries", F.unhex(F.array_join(F.col("e.hex"), "")).alias("data"))
+
+
+def unpack(blocks: DataFrame) -> DataFrame:
+    """(term, block, doc_id, tf) of encoded blocks, and further columns of theirs; each block is decoded on its own."""
+    own = [c for c in blocks.columns if c not in ("first_doc", "entries", "data")]
+    digits = F.hex("data")
+    raw = F.transform(F.sequence(F.lit(0), F.length("data") - 1), lambda i: F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("long"))
+    rows = blocks.select(*own, "first_doc", raw.alias("b"))
+    rows = rows.select(*own, "first_doc", "b", F.filter(F.sequence(F.lit(0), F.size("b") - 1), lambda i: F.get("b", i) < 128).alias("ends"))
+    start = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get("ends", k - 1) + 1)
+    value = lambda e, k: F.aggregate(F.reverse(F.slice("b", start(k) + 1, e - start(k) + 1)), F.lit(0).cast("long"), lambda acc, x: F.shiftleft(acc, 7).bitwiseOR(x.bitwiseAND(F.lit(127).cast("long"))))
+    rows = rows.select(*own, "first_doc", F.transform("ends", value).alias("v"))
+    turn = lambda odd: F.filter("v", lambda x, i: i % 2 == odd)
+    rows = rows.select(*own, "first_doc", turn(0).alias("g"), turn(1).alias("t"))
+    entry = lambda x, i: F.struct((F.col("first_doc") + F.aggregate(F.slice("g", F.lit(1), i + 1), F.lit(0).cast("long"), lambda acc, y: acc + y)).alias("doc_id"), x.cast("int").alias("tf"))
+    return rows.select(*own, F.inline_outer(F.transform("t", entry)))  # outer, so that no filter on the size decodes everything twice
+
+
+def find(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(term, doc_id, tf) of the rows (term, doc_id) of ``wanted`` that are in encoded lists.
+
+    The skip entries lead each id to the one block that may hold it, and only such blocks are decoded. Blocks and
+    ids meet by (term, range of REACH ids), so neither a long list nor many ids are one task.
+    """
+    along = Window.partitionBy("term", "part").orderBy("block")
+    parts = blocks.select("term", "block", "first_doc", F.floor(F.col("block") / (BLOCK * BLOCK)).alias("part"))
+    heads = parts.groupBy("term", "part").agg(F.min("first_doc").alias("head")).select("term", (F.col("part") - 1).alias("part"), "head")
+    ends = parts.withColumn("next", F.lead("first_doc").over(along)).join(heads, ["term", "part"], "left")
+    ends = ends.select("term", "block", "first_doc", (F.coalesce("next", "head") - 1).alias("last"))
+    ask = wanted.select("term", "doc_id", F.floor(F.col("doc_id") / REACH).alias("range")).distinct()
+    top = F.broadcast(ask.agg(F.coalesce(F.max("range"), F.lit(-1)).alias("top")))  # one row: a list's last block has no end of its own
+    low, high = F.floor(F.col("first_doc") / REACH), F.least(F.coalesce(F.floor(F.col("last") / REACH), F.col("top")), F.col("top"))
+    spans = ends.crossJoin(top).where(high >= low).select("term", "block", "first_doc", "last", F.explode(F.sequence(low, high)).alias("range"))
+    led = ask.join(spans, ["term", "range"]).where((F.col("doc_id") >= F.col("first_doc")) & (F.col("last").isNull() | (F.col("doc_id") <= F.col("last")))).select("term", "block", F.col("doc_id").alias("id"))
+    hit = unpack(blocks.join(led.select("term", "block").distinct(), ["term", "block"], "left_semi"))
+    return hit.join(led.select("term", F.col("id").alias("doc_id")), ["term", "doc_id"]).select("term", "doc_id", "tf")
+
+
+def merge(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The same by decoding the lists of the words asked for whole, and merging."""
+    words = wanted.select("term").distinct()
+    return unpack(blocks.join(words, "term", "left_semi")).join(wanted.distinct().hint("merge"), ["term", "doc_id"]).select("term", "doc_id", "tf")

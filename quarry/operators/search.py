@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from quarry.functions.bm25 import contribution, idf, ordered_sum
 from quarry.functions.text import query_terms
 from quarry.operators.index import TextIndex
+from quarry.plans.strategy import choose
+
+#: Weighed words that may be brought to the driver, words that go into the scan's filter, ids looked for that may be broadcast.
+FEW_WORDS, PUSHED, PROBES = 10_000, 10, 500_000
 
 
 def one_query(spark: SparkSession, query: str) -> DataFrame:
@@ -25,28 +29,48 @@ def weigh(index: TextIndex, queries: DataFrame) -> DataFrame:
     terms = queries.select("qid", F.explode(query_terms("query")).alias("term"))
     per = Window.partitionBy("qid")
     known = terms.join(index.terms, "term", "left").select("qid", "term", F.coalesce("df", F.lit(0)).cast("long").alias("df"))
-    n = F.broadcast(index.corpus.select("n_docs"))  # one row
+    n = F.broadcast(index.sizes.select("n_docs"))  # one row
     weighed = known.crossJoin(n).select("qid", "term", "df", idf(F.col("n_docs"), F.col("df")).alias("idf"))
     return weighed.withColumn("ord", F.row_number().over(per.orderBy("df", "term"))).withColumn("n_terms", F.count("*").over(per))
 
 
+def settled(weighed: DataFrame) -> tuple[DataFrame, int, list[str] | None]:
+    """(weighed words of the queries whose words are all known, ids to be looked for in further lists, the words themselves where few).
+
+    Up to FEW_WORDS rows are brought to the driver, so that later steps don't weigh them again and the optimizer knows how small they are; more stay where they are.
+    """
+    live = weighed.withColumn("least", F.min("df").over(Window.partitionBy("qid"))).where("least > 0").drop("least")
+    got = live.limit(FEW_WORDS + 1).collect()
+    if len(got) <= FEW_WORDS:
+        words = sorted({r["term"] for r in got})
+        return live.sparkSession.createDataFrame(got, live.schema), sum(r["df"] * (r["n_terms"] - 1) for r in got if r["ord"] == 1), words if len(words) <= PUSHED else None
+    return live, live.where("ord = 1").agg(F.sum(F.col("df") * (F.col("n_terms") - 1))).first()[0], None
+
+
 def matches(index: TextIndex, weighed: DataFrame) -> DataFrame:
     """(qid, doc_id, len, parts): documents with every word of a query; parts are (ord, idf, tf).
 
-    A query with an unknown word drops out before the postings are touched. Words are
-    joined first and documents grouped after, so a hot word is split by the join and its rows
-    are spread over (qid, doc_id).
+    A query with an unknown word drops out before the postings are touched. Candidates come from each query's rarest word
+    alone; the other words' lists are only probed for them, by a broadcast where PROBES ids
+    or fewer are looked for in all, so that a common word's list is neither shuffled nor grouped; else by a join on (term, doc_id), which splits a hot word.
     """
-    live = weighed.withColumn("least", F.min("df").over(Window.partitionBy("qid"))).where("least > 0")
-    met = index.postings.join(live.select("qid", "term", "idf", "ord", "n_terms"), "term")
-    part = F.struct("ord", "idf", "tf")
-    found = met.groupBy("qid", "doc_id").agg(F.collect_list(part).alias("parts"), F.first("n_terms").alias("n_terms"), F.first("len").alias("len"))
+    live, entries, words = settled(weighed)
+    posts = index.postings.where(F.col("term").isin(words)) if words else index.postings
+    part = F.struct("ord", "idf", "tf").alias("part")
+    first = posts.join(live.where("ord = 1").select("qid", "term", "idf", "ord", "n_terms"), "term").select("qid", "doc_id", "len", "n_terms", part)
+    rest = live.where("ord > 1").select("qid", "term", "idf", "ord")
+    probes = first.where("n_terms > 1").select("qid", "doc_id").join(rest, "qid")
+    if entries <= PROBES:
+        probes = F.broadcast(probes)
+    met = posts.join(probes, ["term", "doc_id"]).select("qid", "doc_id", "len", F.lit(None).cast("bigint").alias("n_terms"), part)
+    both = first.unionByName(met.withColumn("n_terms", F.col("n_terms").cast(first.schema["n_terms"].dataType)))
+    found = both.groupBy("qid", "doc_id").agg(F.collect_list("part").alias("parts"), F.max("n_terms").alias("n_terms"), F.first("len").alias("len"))
     return found.where(F.size("parts") == F.col("n_terms")).select("qid", "doc_id", "len", "parts")
 
 
 def score(index: TextIndex, found: DataFrame) -> DataFrame:
     """(qid, doc_id, score): float sums in the order of the weighed words."""
-    avg = F.broadcast(index.corpus.select("avg_len"))  # one row
+    avg = F.broadcast(index.sizes.select("avg_len"))  # one row
     rows = found.crossJoin(avg)
     parts = F.transform("parts", lambda p: F.struct(p["ord"].alias("ord"), contribution(p["idf"], p["tf"], F.col("len"), F.col("avg_len")).alias("c")))
     return rows.select("qid", "doc_id", ordered_sum(parts).alias("score"))
@@ -81,44 +105,49 @@ def matched(index: TextIndex, queries: DataFrame) -> DataFrame:
 
 
 def boolean(index: TextIndex, query: str) -> DataFrame:
-    """(doc_id): documents with every word; a query without words has none. Grouped, with a count."""
+    """(doc_id) ascending: documents with every word; a query without words has none. Grouped, with a count."""
     words = words_of(index.postings.sparkSession, query)
     rows = index.postings.where(F.col("term").isin(words) if words else F.lit(False))
-    return rows.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") == len(words)).select("doc_id")
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") == len(words)).select("doc_id").orderBy("doc_id")
 
 
-def _lists(index: TextIndex, query: str) -> list[DataFrame]:
-    """Document lists of the words, rarest first; the few counts are looked up on the driver."""
+def _lists(index: TextIndex, query: str) -> list[tuple[DataFrame, int]]:
+    """Document lists of the words and their counts, rarest first; the few counts are looked up on the driver."""
     spark = index.postings.sparkSession
     words = words_of(spark, query)
     df = {r["term"]: r["df"] for r in index.terms.where(F.col("term").isin(words) if words else F.lit(False)).collect()}
-    return [index.lookup(w).select("doc_id") for w in sorted(words, key=lambda w: (df.get(w, 0), w))]
+    return [(index.lookup(w).select("doc_id"), df.get(w, 0)) for w in sorted(words, key=lambda w: (df.get(w, 0), w))]
 
 
 def _nothing(index: TextIndex) -> DataFrame:
     return index.postings.select("doc_id").where(F.lit(False))
 
 
-def boolean_chain(index: TextIndex, query: str, hint: str | None = None) -> DataFrame:
-    """The same by semi-joins, rarest word first; hint "merge" or "shuffle_hash" fixes the algorithm, None leaves it to the optimizer."""
-    lists = _lists(index, query)
-    join = lambda a, b: a.join(b.hint(hint) if hint else b, "doc_id", "left_semi")
-    return reduce(join, lists) if lists else _nothing(index)
+def intersect(small: DataFrame, large: DataFrame, entries: int, algorithm: str | None, most: int = 1_000_000) -> DataFrame:
+    """Ids in both lists, ``entries`` being those of ``small``. "Merge" sorts and merges; "Gallop" probes the small list, broadcast if it has at
+    most ``most`` ids, by the large one; None leaves it to the optimizer. Which one never changes the result."""
+    if algorithm == "Gallop":
+        return large.join(F.broadcast(small) if entries <= most else small, "doc_id", "left_semi")
+    return small.join(large.hint("merge") if algorithm == "Merge" else large, "doc_id", "left_semi")
 
 
-def boolean_probe(index: TextIndex, query: str, most: int = 1_000_000) -> DataFrame:
-    """The same by probing: the small list is broadcast if a count shows at most ``most`` ids, and probed by each longer one."""
+def boolean_chain(index: TextIndex, query: str, algorithm: str | None = None) -> DataFrame:
+    """The same by intersecting lists, rarest word first. "Merge" or "Gallop" fixes the algorithm, "Adaptive" chooses for each step by
+    the candidates counted and the list's length, None leaves it to the optimizer. Without candidates no further list is read."""
     lists = _lists(index, query)
-    if not lists:
+    if not lists or not lists[0][1]:
         return _nothing(index)
-    small = lists[0]
-    for longer in lists[1:]:
-        few = small.limit(most + 1).count() <= most
-        small = longer.join(F.broadcast(small) if few else small, "doc_id", "left_semi")
-    return small
+    (found, entries), rest = lists[0], lists[1:]
+    for k, (longer, df) in enumerate(rest):
+        if k and algorithm in ("Gallop", "Adaptive"):
+            entries = found.count()
+            if not entries:
+                return _nothing(index)
+        found = intersect(found, longer, entries, choose(entries, df) if algorithm == "Adaptive" else algorithm)
+    return found.orderBy("doc_id")
 
 
 def boolean_intersect(index: TextIndex, query: str) -> DataFrame:
     """The same by INTERSECT."""
-    lists = _lists(index, query)
-    return reduce(lambda a, b: a.intersect(b), lists) if lists else _nothing(index)
+    lists = [ids for ids, _ in _lists(index, query)]
+    return reduce(lambda a, b: a.intersect(b), lists).orderBy("doc_id") if lists else _nothing(index)

@@ -8,6 +8,10 @@ from quarry.operators.index import TextIndex
 from quarry.operators.search import scores
 
 
+#: Ids of a range by which shards are found.
+RANGE = 65_536
+
+
 def shard_of(doc_id: Column, size: int) -> Column:
     return F.floor(doc_id / size).cast("int")
 
@@ -23,14 +27,14 @@ def bases(per_shard: DataFrame) -> DataFrame:
 
 
 def locate(ids: DataFrame, shard_bases: DataFrame) -> DataFrame:
-    """(doc_id, shard, local_id): the last shard whose base isn't above the id; empty shards are passed over.
+    """(doc_id, shard, local_id): the last shard whose base isn't above the id; empty shards are passed over, ids beyond the last document have no row.
 
-    Bases are one row a shard and are broadcast as one sorted array; each row finds its own by a search in it.
+    Shards and ids meet by ranges of RANGE ids, so neither many shards nor large ones are held by a task.
     """
-    full = shard_bases.where("docs > 0").agg(F.array_sort(F.collect_list(F.struct("base", "shard"))).alias("all"))
-    rows = ids.crossJoin(F.broadcast(full))
-    at = F.element_at(F.filter("all", lambda x: x["base"] <= F.col("doc_id")), -1)
-    return rows.select("doc_id", at["shard"].alias("shard"), (F.col("doc_id") - at["base"]).alias("local_id"))
+    full = shard_bases.where("docs > 0").select("shard", "base", (F.col("base") + F.col("docs")).alias("stop"))
+    spans = full.select("*", F.explode(F.sequence(F.floor(F.col("base") / RANGE), F.floor((F.col("stop") - 1) / RANGE))).alias("range"))
+    met = ids.select("doc_id", F.floor(F.col("doc_id") / RANGE).alias("range")).join(spans, "range")
+    return met.where("doc_id >= base AND doc_id < stop").select("doc_id", "shard", (F.col("doc_id") - F.col("base")).alias("local_id"))
 
 
 def per_shard_topk(index: TextIndex, queries: DataFrame, k: int, size: int) -> DataFrame:

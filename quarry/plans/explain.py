@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Row, Window, functions as F
 
 from quarry.operators.index import TextIndex
-from quarry.operators.search import matches, one_query, weigh
+from quarry.operators.search import matches, one_query, FEW_WORDS, search_ranked, weigh
 from quarry.plans.strategy import algorithm
 
 
@@ -21,7 +23,7 @@ def steps(index: TextIndex, queries: DataFrame) -> DataFrame:
     its words are numbered without a gap up to there. Steps after the candidates have run out are absent.
     """
     weighed = weigh(index, queries)
-    met = index.postings.join(weighed.select("qid", "term", "ord"), "term")
+    met = index.postings.join(F.broadcast(weighed.select("qid", "term", "ord")) if weighed.limit(FEW_WORDS + 1).count() <= FEW_WORDS else weighed.select("qid", "term", "ord"), "term")
     ords = met.groupBy("qid", "doc_id").agg(F.array_sort(F.collect_list("ord")).alias("o"))
     prefix = ords.select("qid", F.size(F.filter("o", lambda x, i: x == i + 1)).alias("depth")).where("depth > 0")
     counts = prefix.groupBy("qid", "depth").agg(F.count("*").alias("n"))
@@ -31,19 +33,39 @@ def steps(index: TextIndex, queries: DataFrame) -> DataFrame:
     return rows.select("qid", (F.col("ord") - 1).alias("step"), "term", F.col("candidates").cast("long").alias("candidates"), "df", algorithm(F.col("candidates"), F.col("df")).alias("algorithm"), F.col("survivors").cast("long").alias("matched"))
 
 
-def text(index: TextIndex, query: str, k: int) -> str:
-    """The explanation as lines of text; timings, which aren't reproducible, are left out."""
+@dataclass(frozen=True)
+class Plan:
+    """What a query did: its words and steps as rows, the number of matches, and the best as (document, score)."""
+
+    query: str
+    k: int
+    words: list[Row]
+    steps: list[Row]
+    matched: int
+    hits: list[tuple[int, float]]
+
+    def lines(self) -> list[str]:
+        """The plan as text; timings, which aren't reproducible, are left out."""
+        out = [f"Query: {self.query!r}, best {self.k}"]
+        if not self.words:
+            return [*out, "The query has no words."]
+        out.append("Words, rarest first:")
+        out += [f"  {w['ord']}. {w['term']}: " + (f"in {w['df']:,} documents, idf {w['idf']:.3f}" if w["df"] else "in no document") for w in self.words]
+        for s in self.steps:
+            out.append(f"Step {s['step']}: {s['candidates']:,} candidates AND {s['term']} ({s['df']:,}) by {s['algorithm']}: {s['matched']:,} left")
+        if len(self.steps) < len(self.words) - 1:
+            out.append("No candidates were left for the other words; their lists aren't read.")
+        out.append(f"Scored {self.matched:,} documents; " + ("all of them are sorted." if self.k >= self.matched else f"the best {self.k} are kept in a heap."))
+        return [*out, *(f"  {i}. document {d}, score {s:.3f}" for i, (d, s) in enumerate(self.hits, 1))]
+
+
+def plan(index: TextIndex, query: str, k: int) -> Plan:
+    """Run a query and say what it did; the hits are those of the search. A few rows a word and k hits reach the driver."""
     one = one_query(index.postings.sparkSession, query)
     words, ran = terms(index, one).orderBy("ord").collect(), steps(index, one).orderBy("step").collect()
-    hits = matches(index, weigh(index, one)).count()
-    out = [f"Query: {query!r}, best {k}"]
-    if not words:
-        return "\n".join([*out, "The query has no words."])
-    out.append("Words, rarest first:")
-    out += [f"  {w['ord']}. {w['term']}: " + (f"in {w['df']:,} documents, idf {w['idf']:.3f}" if w["df"] else "in no document") for w in words]
-    for s in ran:
-        out.append(f"Step {s['step']}: {s['candidates']:,} candidates AND {s['term']} ({s['df']:,}) by {s['algorithm']}: {s['matched']:,} left")
-    if len(ran) < len(words) - 1:
-        out.append("No candidates were left for the other words; their lists aren't read.")
-    out.append(f"Scored {hits:,} documents; " + ("all of them are sorted." if k >= hits else f"the best {k} are kept in a heap."))
-    return "\n".join(out)
+    hits = search_ranked(index, query, k).collect() if words else []
+    return Plan(query, k, words, ran, matches(index, weigh(index, one)).count() if words else 0, [(r["doc_id"], float(r["score"])) for r in hits])
+
+
+def text(index: TextIndex, query: str, k: int) -> str:
+    return "\n".join(plan(index, query, k).lines())

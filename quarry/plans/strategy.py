@@ -15,6 +15,11 @@ def algorithm(a: Column, b: Column) -> Column:
     return F.when(F.greatest(a, b) >= F.least(a, b) * GALLOP_RATIO, F.lit("Gallop")).otherwise(F.lit("Merge"))
 
 
+def choose(a: int, b: int) -> str:
+    """The same of two numbers."""
+    return "Gallop" if max(a, b) >= GALLOP_RATIO * min(a, b) else "Merge"
+
+
 def estimated_work(dfs: Column, n: Column) -> Column:
     """Entries decoded and scored, from an array of document counts sorted upwards, taking words as independent; 0 for none."""
     start = F.struct(F.element_at(dfs, 1).cast("double").alias("c"), F.element_at(dfs, 1).cast("double").alias("w"))

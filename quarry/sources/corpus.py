@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
-def _numbered(rows: DataFrame, order: list) -> DataFrame:
+def numbered(rows: DataFrame, order: list) -> DataFrame:
     """Dense ids from 0 in the given order: counts by part of the order first, so no task has all rows."""
     spread = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
     counts = spread.groupBy("part").agg(F.count("*").alias("n"))
@@ -28,14 +28,43 @@ def from_tsv(spark: SparkSession, path: str) -> DataFrame:
     kept = lines.select("file", "at", "row", line.alias("line")).where(F.instr("line", "\t") > 0)
     cut = F.instr("line", "\t")
     rows = kept.select("file", "at", "row", F.substring_index("line", "\t", 1).alias("name"), F.col("line").substr(cut + 1, F.length("line")).alias("text"))
-    return _numbered(rows, ["file", "at", "row"]).select("doc_id", "name", "text")
+    return numbered(rows, ["file", "at", "row"]).select("doc_id", "name", "text")
+
+
+def _hidden(spark: SparkSession, path: str) -> list[str]:
+    """Paths of a directory's text files that the reader leaves out as hidden, from the names alone."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
+    names = [(s.getPath().toString(), s.getPath().getName()) for s in found if s.isFile()]
+    return [p for p, n in names if n[0] in "._" and n.endswith(".txt") and len(n) > 4]
 
 
 def from_directory(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, name, text) of the files with the extension ``txt`` right in a directory, one document each, by path."""
+    """(doc_id, name, text) of the files with the extension ``txt`` right in a directory, one document each, by path.
+
+    Names that begin with a dot or an underscore count, but for ``.txt``, which has no extension. Invalid UTF-8 fails the load.
+    """
     files = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt", recursiveFileLookup=False)
-    rows = files.select(F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
-    return _numbered(rows, ["file"]).select("doc_id", "name", "text")
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))  # percent signs only
+    rows = files.select(name.alias("name"), F.validate_utf8("value").alias("text"))
+    hidden = _hidden(spark, path)
+    if hidden:
+
+        def read(batches):
+            from pyarrow import fs
+
+            for b in batches:
+                texts = []
+                for p in b["path"]:
+                    files, at = fs.FileSystem.from_uri(p.replace("file:/", "file:///", 1) if p.startswith("file:/") and not p.startswith("file://") else p)
+                    with files.open_input_stream(at) as f:
+                        texts.append(f.read().decode("utf-8"))
+                yield b.assign(text=texts)[["name", "text"]]
+
+        listed = spark.createDataFrame([(p, p.rsplit("/", 1)[1]) for p in hidden], "path string, name string")
+        rows = rows.unionByName(listed.mapInPandas(read, "name string, text string"))
+    return numbered(rows, ["name"]).select("doc_id", "name", "text")
 
 
 def from_table(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 SEED = 42
@@ -27,17 +29,33 @@ def zipf_cdf(spark: SparkSession, words: int) -> DataFrame:
     return ids.withColumn("run", F.sum("p").over(own)).join(F.broadcast(sums), "block").crossJoin(F.broadcast(total)).select("id", ((F.col("base") + F.col("run")) / F.col("total")).alias("cdf"))
 
 
-def generate(spark: SparkSession, docs: int, words: int = 50_000, shortest: int = 60, longest: int = 199, seed: int = SEED, partitions: int | None = None) -> DataFrame:
+def vocabulary(lines: list[str] | None = None, words: int = 50_000) -> list[str]:
+    """``words`` words: those of a word list, lower-cased, of 3 to 12 ASCII letters and unlike the one before, then ``term0``, ``term1`` and so on."""
+    kept: list[str] = []
+    for w in (x.strip().lower() for x in lines or []):
+        if 3 <= len(w) <= 12 and w.isascii() and w.isalpha() and (not kept or kept[-1] != w):
+            kept.append(w)
+    return (kept + [f"term{i}" for i in range(max(0, words - len(kept)))])[:words]
+
+
+def generate(spark: SparkSession, docs: int, words: int = 50_000, shortest: int = 60, longest: int = 199, seed: int = SEED, partitions: int | None = None, word_list: list[str] | None = None) -> DataFrame:
     """(doc_id, name, text): ``docs`` documents of shortest to longest words.
 
-    A rank is drawn by inverting the continuous curve of Zipf's law,
-    u -> (words + 1) ** u - 1, which needs no table; words are ``term0``, ``term1`` and so on.
+    A word is the first whose share of draws, summed up to it as in ``zipf_cdf``, reaches a uniform number. The
+    sums and words, which ``words`` bounds, go to every executor.
     """
+    shares = np.cumsum(1.0 / np.arange(1, words + 1))
+    known = spark.sparkContext.broadcast((shares / shares[-1], np.array(vocabulary(word_list, words), object)))
+
+    @F.pandas_udf("string")
+    def text(u: pd.Series) -> pd.Series:
+        cdf, names = known.value
+        return pd.Series([" ".join(names[np.minimum(np.searchsorted(cdf, x, "left"), len(names) - 1)]) for x in u])
+
     ids = spark.range(0, docs, 1, partitions) if partitions else spark.range(docs)
     n = shortest + F.floor(uniform(F.col("id"), F.lit(-1), seed=seed) * (longest - shortest + 1)).cast("int")
-    rank = lambda pos: F.least(F.floor(F.pow(F.lit(float(words + 1)), uniform(F.col("id"), pos, seed=seed)) - 1), F.lit(words - 1)).cast("string")
-    text = F.array_join(F.transform(F.sequence(F.lit(1), n), lambda p: F.concat(F.lit("term"), rank(p))), " ")
-    return ids.select(F.col("id").alias("doc_id"), F.format_string("doc%07d.txt", F.col("id")).alias("name"), text.alias("text"))
+    draws = F.transform(F.sequence(F.lit(1), n), lambda p: uniform(F.col("id"), p, seed=seed))
+    return ids.select(F.col("id").alias("doc_id"), F.format_string("doc%07d.txt", F.col("id")).alias("name"), text(draws).alias("text"))
 
 
 def write_tsv(docs: DataFrame, path: str) -> None:

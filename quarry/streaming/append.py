@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from quarry.operators.index import TextIndex, corpus_stats, doc_stats, postings, term_stats
+from quarry.operators.index import TextIndex, corpus_stats, counted, doc_sizes, listed, term_stats
 
 
 def index_stream(docs: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -16,10 +16,10 @@ def index_stream(docs: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """
 
     def add(batch: DataFrame, number: int) -> None:
-        batch.persist()
-        postings(batch).write.mode("overwrite").parquet(f"{path}/postings/batch={number}")
-        doc_stats(batch).write.mode("overwrite").parquet(f"{path}/docs/batch={number}")
-        batch.unpersist()
+        rows = counted(batch).persist()
+        listed(rows).write.mode("overwrite").parquet(f"{path}/postings/batch={number}")
+        rows.select("doc_id", "name", "len").write.mode("overwrite").parquet(f"{path}/docs/batch={number}")
+        rows.unpersist()
 
     return docs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -28,4 +28,5 @@ def load_stream_index(spark, path: str) -> TextIndex:
     """The index of all batches so far."""
     posts = spark.read.parquet(f"{path}/postings").drop("batch")
     docs = spark.read.parquet(f"{path}/docs").drop("batch")
-    return TextIndex(posts, docs, term_stats(posts), corpus_stats(docs, posts))
+    terms, sizes = term_stats(posts), doc_sizes(docs)
+    return TextIndex(posts, docs, terms, sizes, corpus_stats(sizes, terms))

@@ -1,5 +1,7 @@
 """Tokenizer, codec, sources, persistence, generator and streaming."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,13 +64,62 @@ def test_invalid_utf8_fails(spark, tmp_path):
 
 
 def test_directory(spark, tmp_path):
-    for name in ("b.txt", "a.txt", "c.TXT", "d.md"):
+    for name in ("b.txt", "a.txt", "c.TXT", "d.md", ".txt"):
         (tmp_path / name).write_text(name)
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub/e.txt").write_text("no")
     assert [tuple(r) for r in corpus.load(spark, str(tmp_path)).orderBy("doc_id").collect()] == [(0, "a.txt", "a.txt"), (1, "b.txt", "b.txt")]
 
 
+def test_directory_with_odd_names(spark, tmp_path):
+    names = ["a b.txt", "a+b.txt", "a%41.txt", "_n.txt", ".h.txt", "é.txt"]
+    for name in names:
+        (tmp_path / name).write_text(f"is {name}")
+    assert [tuple(r) for r in corpus.load(spark, str(tmp_path)).orderBy("doc_id").collect()] == [(i, n, f"is {n}") for i, n in enumerate(sorted(names))]
+    (tmp_path / "z.txt").write_bytes(b"\xff\xfe")
+    with pytest.raises(Exception, match="UTF"):
+        corpus.from_directory(spark, str(tmp_path)).collect()
+
+
+def test_create_equals_build(spark, tmp_path):
+    rows = corpus.from_rows(spark, [("a", "x y x"), ("b", ""), ("c", "y"), ("d", "?")])
+    made, lazy = TextIndex.create(rows, str(tmp_path / "ix"), name_col="name"), TextIndex.build(rows, name_col="name")
+    for part in ("postings", "docs", "terms", "sizes", "corpus"):
+        a, b = getattr(made, part), getattr(lazy, part)
+        assert sorted(map(tuple, a.select(b.columns).collect())) == sorted(map(tuple, b.collect()))
+    assert not (tmp_path / "ix" / "_counted").exists()
+    some = TextIndex.build(rows, ["y"], name_col="name").corpus.first()
+    assert (some["n_docs"], some["total_len"], some["n_terms"], some["n_postings"]) == (4, 4, 1, 2)
+
+
+def test_codec_over_pieces(spark, monkeypatch):
+    """Lists that are cut into many pieces and parts, encoded, decoded and looked into."""
+    monkeypatch.setattr(codec, "PIECE", 50)
+    monkeypatch.setattr(codec, "REACH", 40)
+    rng = random.Random(1)
+    rows = sorted({(w, rng.randrange(0, 40_000) if w == "far" else rng.randrange(0, 1500)) for w in ("a", "far", "b") for _ in range(700)})
+    posts = spark.createDataFrame([(w, d, rng.randrange(1, 400)) for w, d in rows], "term string, doc_id long, tf int")
+    expected, gaps = sorted(map(tuple, posts.collect())), codec.gaps(posts)
+    at = {}
+    for r in sorted(gaps.collect(), key=lambda r: (r["term"], r["doc_id"])):
+        k, prior = at.get(r["term"], (0, None))
+        assert (r["pos"], r["block"], r["gap"]) == (k, k // 64, 0 if k % 64 == 0 else r["doc_id"] - prior)
+        at[r["term"]] = (k + 1, r["doc_id"])
+    blocks = codec.encode(gaps)
+    assert sorted(map(tuple, codec.unpack(blocks).select("term", "doc_id", "tf").collect())) == expected == sorted(map(tuple, codec.decode(gaps).collect()))
+    wanted = [(w, d) for w in ("a", "far", "none") for d in (*range(0, 1600, 7), 39_999, 10**7)]
+    ask = spark.createDataFrame(wanted, "term string, doc_id long")
+    hits = [x for x in expected if (x[0], x[1]) in set(wanted)]
+    assert hits and sorted(map(tuple, codec.find(blocks, ask).collect())) == sorted(map(tuple, codec.merge(blocks, ask).collect())) == hits
+    big = spark.createDataFrame([(v,) for v in (0, 127, 128, 16383, 16384, 2**21, 2**28, 2**34)], "v long").select(codec.varint(F.col("v")).alias("h")).collect()
+    assert [r["h"] for r in big] == ["00", "7F", "8001", "FF7F", "808001", "80808001", "8080808001", "8080808040"]
+
+
+def test_vocabulary():
+    assert generator.vocabulary(["The", "ox", "zebra", "Zebra", "it's", "extraordinarily", "ant"], 5) == ["the", "zebra", "ant", "term0", "term1"]
+    assert generator.vocabulary(None, 2) == ["term0", "term1"]
+
+
 def test_save_load_and_append(spark, tmp_path):
     texts = ["rust go", "go", "", "rust rust learning", "machine go rust"]
     rows = corpus.from_rows(spark, [(f"d{i}", t) for i, t in enumerate(texts)])

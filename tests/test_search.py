@@ -40,9 +40,25 @@ def test_statistics(sample):
     ("machine zebra", []), ("", []), ("!!!", []),
 ])
 def test_boolean_by_every_plan(sample, query, expected):
-    plans = [search.boolean, search.boolean_chain, search.boolean_probe, search.boolean_intersect, lambda i, q: search.boolean_chain(i, q, "merge"), lambda i, q: search.boolean_probe(i, q, 0)]
+    plans = [search.boolean, search.boolean_chain, search.boolean_intersect, *(lambda i, q, a=a: search.boolean_chain(i, q, a) for a in ("Merge", "Gallop", "Adaptive"))]
     for plan in plans:
-        assert sorted(r["doc_id"] for r in plan(sample, query).collect()) == expected
+        assert [r["doc_id"] for r in plan(sample, query).collect()] == expected
+
+
+def test_a_list_too_long_to_be_broadcast(spark):
+    a, b = (spark.createDataFrame([(x,) for x in ids], "doc_id long") for ids in ([1, 5, 9], range(0, 10, 3)))
+    for algorithm in ("Merge", "Gallop", None):
+        assert [r["doc_id"] for r in search.intersect(a, b, 3, algorithm, most=0).orderBy("doc_id").collect()] == [9]
+
+
+@pytest.mark.parametrize("few, probes", [(0, 10**6), (0, -1), (10_000, -1)])
+def test_matches_however_many_there_are(spark, sample, monkeypatch, few, probes):
+    """Queries too many for the driver, and ids too many to be broadcast, give the same."""
+    asked = spark.createDataFrame([(0, "machine learning"), (1, "rust"), (2, "zebra rust"), (3, "learning rust machine"), (4, "")], "qid long, query string")
+    whole = sorted(map(tuple, search.search_batch(sample, asked, 10).collect()))
+    monkeypatch.setattr(search, "FEW_WORDS", few)
+    monkeypatch.setattr(search, "PROBES", probes)
+    assert sorted(map(tuple, search.search_batch(sample, asked, 10).collect())) == whole and len(whole) == 5
 
 
 @pytest.mark.parametrize("query, expected", [
@@ -133,6 +149,8 @@ def test_explain(spark, sample):
     assert (first["term"], first["df"]) == ("zebra", 0) and not explain.steps(sample, none).collect()
     assert "in no document" in explain.text(sample, "machine zebra learning", 10)
     assert "no words" in explain.text(sample, "?", 10)
+    plan = explain.plan(sample, "machine learning", 1)
+    assert plan.matched == 2 and [d for d, _ in plan.hits] == [2] and "kept in a heap" in "\n".join(plan.lines())
 
 
 def test_explain_picks_gallop(spark):
