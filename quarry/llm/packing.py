@@ -32,8 +32,8 @@ from quarry.llm.common import forget, kept, pick, written
 CELL, ISLANDS, EPOCHS, CHILDREN, KEPT = 4_000, 2, 2, 24, 5
 #: Sequences that a cell should fill, so that the one it leaves open is a small share; and mean items of a cell at most for that.
 CELL_BINS, MOST_ITEMS = 32, 100_000
-#: Words whose ids a worker keeps; a bound on memory only.
-CACHED_WORDS = 900_000
+#: Words whose ids a worker keeps, and words encoded at a time; bounds on memory only.
+CACHED_WORDS, ENCODED_WORDS = 900_000, 8_192
 #: Marks that the pre-tokenizer never joins to the letters before them.
 _MARKS = ",.!?;:*&$#%|()"
 BATCH_CHARS = 1_000_000
@@ -45,7 +45,7 @@ class WordTokenizer:
     The file's normalizer must be NFC, white space to spaces, lower case. Strings of special tokens are ordinary text.
     """
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, cached_words: int = CACHED_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -56,6 +56,7 @@ class WordTokenizer:
         plain |= {"normalizer": None, "added_tokens": []}
         self.model = Tokenizer.from_str(json.dumps(plain))
         self.cache: dict[str, bytes] = {}
+        self.most = cached_words
 
     @staticmethod
     def words(text: str) -> list[str]:
@@ -75,8 +76,9 @@ class WordTokenizer:
             core = w.rstrip(_MARKS)
             split[w] = (core, w[len(core) :]) if core.isalpha() else (w, "")
         new = list({p for parts in split.values() for p in parts if p and p not in self.cache})
-        if new:
-            self.cache.update((p, array("I", e.ids).tobytes()) for p, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False)))
+        for k in range(0, len(new), ENCODED_WORDS):
+            some = new[k : k + ENCODED_WORDS]
+            self.cache.update((p, array("I", e.ids).tobytes()) for p, e in zip(some, self.model.encode_batch_fast(some, add_special_tokens=False)))
         self.cache.update((w, self.cache[core] + self.cache[tail]) for w, (core, tail) in split.items() if tail)
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -95,7 +97,7 @@ class WordTokenizer:
                 out.append(b"".join(ids))
             waiting.clear()
             chars = 0
-            if len(self.cache) > CACHED_WORDS:
+            if len(self.cache) > self.most:
                 self.cache.clear()
 
         collects = gc.isenabled()
@@ -115,11 +117,11 @@ class WordTokenizer:
         return out
 
 
-def _tokenizer(spec: str) -> WordTokenizer:
-    return kept(f"words {zlib.crc32(spec.encode())}", lambda: WordTokenizer(spec))
+def _tokenizer(spec: str, cached_words: int) -> WordTokenizer:
+    return kept(f"words {zlib.crc32(spec.encode())} {cached_words}", lambda: WordTokenizer(spec, cached_words))
 
 
-def tokenize(docs: DataFrame, tokenizer_path: str, length: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def tokenize(docs: DataFrame, tokenizer_path: str, length: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, cached_words: int = CACHED_WORDS) -> DataFrame:
     """(id, n_ids, crcs[, ids binary]): each text's ids, then ``end_id``; crcs are CRC-32s of its pieces of ``length`` ids.
 
     Ids are hashed as little-endian unsigned 32-bit. Null texts count as empty
@@ -132,7 +134,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, length: int, end_id: int = 0,
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _tokenizer(shared.value)
+        tok = _tokenizer(shared.value, cached_words)
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 ids = [i + end for i in tok.encode([t or "" for t in b.column(1).slice(k, 512).to_pylist()])]
@@ -316,13 +318,13 @@ def _numbered(pieces: DataFrame) -> DataFrame:
     return written(pieces.withColumn("sequence_id", -1 - F.monotonically_increasing_id()), "packing-full")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", cached_words: int = CACHED_WORDS) -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset): one row for each piece of each document row.
 
     Every row counts, repeated ids and null ids included; null texts are empty
-    and so have ``end_id`` alone. The encoded lengths are written once and numbered there.
+    and so have ``end_id`` alone. A worker keeps the ids of ``cached_words`` words, which bounds its memory and changes no result. The encoded lengths are written once and numbered there.
     """
-    encoded = tokenize(docs, tokenizer_path, capacity, end_id, id_col, text_col)
+    encoded = tokenize(docs, tokenizer_path, capacity, end_id, id_col, text_col, cached_words=cached_words)
     rows = written(encoded.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col), "n_ids", "crcs"), "packing-lengths")
     spans = pack(rows.select("uid", F.col("n_ids").alias("n")), capacity)
     return spans.join(rows, "uid").select(F.col(id_col), "piece", "start", "length", F.get("crcs", F.col("piece")).alias("ids_crc32"), "sequence_id", "offset")
