@@ -17,6 +17,8 @@ from quarry.llm.common import forget, table, written
 #: Scores from which a document is rejected as toxic, and below which as poor.
 TOXIC, GOOD = 0.5, 0.3
 TOKENIZER, CONTEXT = "word_bpe_49k.json", 2048
+#: Words whose ids a worker keeps: fewer than when packing alone, as executors hold what earlier stages left too.
+CACHED_WORDS = 250_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +59,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document stands in sequences of CONTEXT tokens; null and empty texts are one token, every row is packed."""
-    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER), CONTEXT)
+    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER), CONTEXT, cached_words=CACHED_WORDS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
