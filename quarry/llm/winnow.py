@@ -114,7 +114,8 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     buckets = max(1, min(MOST_BUCKETS, n // BUCKET))
     bounds = []
     if buckets > 1:
-        shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)]) if buckets <= 1024 else F.transform(F.sequence(F.lit(1), F.lit(buckets - 1)), lambda i: i / F.lit(buckets))
+        # parsed from a literal: percentile_approx takes only constants, which no function with a lambda is
+        shares = F.from_json(F.lit("[" + ",".join(str(i / buckets) for i in range(1, buckets)) + "]"), "array<double>")
         bounds = sorted(set(ids.agg(F.percentile_approx("doc_id", shares, F.lit(max(10_000, 20 * buckets)))).first()[0]))
     steps = max(1, len(bounds)).bit_length()
     if bounds:

@@ -75,6 +75,17 @@ def test_next_document(spark, docs_of, monkeypatch, bucket):
     assert odd == [(0, "n", ""), (1, "a", "b"), (1, "b", "c"), (2, "c", "a")]
 
 
+@pytest.mark.parametrize("most", [65_536, 2_500])
+def test_next_document_in_thousands_of_buckets(spark, docs_of, monkeypatch, most):
+    monkeypatch.setattr(winnow, "BUCKET", 1)
+    monkeypatch.setattr(winnow, "MOST_BUCKETS", most)
+    rng = random.Random(most)
+    rows = [(i, f"t{i}") for i in rng.sample(range(-(10**12), 10**12), 3000)]
+    got = {r["doc_id"]: r["next_text"] for r in winnow.with_next(docs_of(rows, 5)).collect()}
+    order = sorted(rows)
+    assert got == {order[i][0]: order[(i + 1) % len(order)][1] for i in range(len(order))}
+
+
 def test_query(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").collect()
     got = {r["doc_id"]: r for r in queries.op3_winnowing(spark, small).collect()}
