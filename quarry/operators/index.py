@@ -53,6 +53,13 @@ def term_stats(posts: DataFrame) -> DataFrame:
     return posts.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def save_terms(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """(term, df) of documents, saved. Each task counts the distinct words of its texts before the shuffle; no lists are made."""
+    words = spread(docs.select(text_col)).select(F.explode_outer(F.array_distinct(tokens(text_col))).alias("term")).where("term IS NOT NULL")
+    term_stats(words).write.mode("overwrite").parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
 @dataclass(frozen=True)
 class TextIndex:
     """Postings, document and term statistics, one row of sizes (n_docs, total_len, avg_len), and one of all corpus statistics."""
@@ -72,10 +79,10 @@ class TextIndex:
         return cls(posts, stats, terms, sizes, corpus_stats(sizes, terms))
 
     @classmethod
-    def create(cls, docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", name_col: str | None = None) -> TextIndex:
-        """Index documents and save: texts are tokenized once, and everything else is made from the counts that this writes."""
+    def create(cls, docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", name_col: str | None = None, only: list[str] | None = None) -> TextIndex:
+        """Index documents and save: texts are tokenized once, and everything else is made from the counts that this writes. ``only`` is that of ``build``."""
         spark, rough = docs.sparkSession, f"{path}/_counted"
-        counted(spread(docs.select(*dict.fromkeys([id_col, text_col, *([name_col] if name_col else [])]))), None, id_col, text_col, name_col).write.mode("overwrite").parquet(rough)
+        counted(spread(docs.select(*dict.fromkeys([id_col, text_col, *([name_col] if name_col else [])]))), only, id_col, text_col, name_col).write.mode("overwrite").parquet(rough)
         rows = spark.read.parquet(rough)
         out = cls._save(spark, rows.select("doc_id", "name", "len"), listed(rows), path, None)
         delete(spark, rough)
