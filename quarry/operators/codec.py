@@ -1,6 +1,7 @@
-"""Posting lists as blocks of gaps in varint bytes, with a skip table, in DataFrame functions only.
+"""Posting lists as blocks of gaps in varint bytes, with a skip table.
 
 Positions in a list come from counts of its pieces, which are ranges of PIECE ids, so that no task sorts a whole list.
+Bytes are made and read a batch of rows at a time, by Arrow; all else is DataFrame functions. What the workers run refers to nothing of this package.
 """
 
 from __future__ import annotations
@@ -70,10 +71,42 @@ def varint(value: Column) -> Column:
 
 
 def encode(gap_rows: DataFrame) -> DataFrame:
-    """(term, block, first_doc, entries, data binary): each block's gaps and counts as varints, by turns. Ids must lie within 2 ** 35 of the one before."""
-    entry = F.struct("pos", F.concat(varint(F.col("gap")), varint(F.col("tf").cast("long"))).alias("hex"))
-    blocks = gap_rows.groupBy("term", "block").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("entries"), F.array_sort(F.collect_list(entry)).alias("e"))  # BLOCK entries
-    return blocks.select("term", "block", "first_doc", "entries", F.unhex(F.array_join(F.col("e.hex"), "")).alias("data"))
+    """(term, block, first_doc, entries, data binary): each block's gaps and counts as varints, by turns. Ids must lie within 2 ** 35 of the one before.
+
+    Rows that follow one another in a task are encoded there, so that parts of blocks are shuffled, not rows.
+    """
+    block = BLOCK
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            term, (pos, doc, gap, tf) = b.column(0), (b.column(k).to_numpy() for k in range(1, 5))
+            cut = np.ones(n, dtype=bool)
+            cut[1:] = (pos[1:] != pos[:-1] + 1) | (pos[1:] % block == 0) | pc.not_equal(term.slice(1), term.slice(0, n - 1)).fill_null(True).to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(cut)
+            value = np.stack([gap, tf], axis=1).ravel()
+            size = 1 + sum((value >= 1 << 7 * k).astype(np.int64) for k in range(1, 5))
+            stop = np.cumsum(size)
+            start, data = stop - size, np.empty(stop[-1], dtype=np.uint8)
+            for k in range(5):
+                long = np.flatnonzero(size > k)
+                data[start[long] + k] = (value[long] >> 7 * k) & 127 | (size[long] > k + 1) * 128
+            offsets = np.append(start[2 * at], stop[-1]).astype(np.int32)
+            parts = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+            columns = [term.take(pa.array(at)), pa.array(pos[at]), pa.array(doc[at]), pa.array(np.diff(at, append=n)), parts]
+            yield pa.RecordBatch.from_arrays(columns, names=["term", "pos", "first_doc", "entries", "data"])
+
+    rows = gap_rows.select("term", *[F.col(c).cast("long").alias(c) for c in ("pos", "doc_id", "gap", "tf")])
+    runs = rows.mapInArrow(run, "term string, pos long, first_doc long, entries long, data binary").withColumn("block", F.floor(F.col("pos") / BLOCK).cast("int"))
+    found = [F.min("first_doc").alias("first_doc"), F.sum("entries").alias("entries"), F.array_sort(F.collect_list(F.struct("pos", "data"))).alias("e")]  # BLOCK parts at most
+    whole = F.aggregate("e.data", F.lit(bytearray()), lambda acc, x: F.concat(acc, x))
+    return runs.groupBy("term", "block").agg(*found).select("term", "block", "first_doc", "entries", whole.alias("data"))
 
 
 def unpack(blocks: DataFrame) -> DataFrame:

@@ -37,6 +37,12 @@ def listed(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "len", F.inline_outer("runs")).where("term IS NOT NULL").select("term", "doc_id", "tf", "len")
 
 
+def save_counts(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, len, runs, words) of (doc_id, text), saved: what lists are made from, ``words`` being the distinct ones. No shuffle of rows."""
+    counted(spread(docs.select("doc_id", "text"))).select("doc_id", "len", "runs", F.size("runs").alias("words")).write.mode("overwrite").parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
 def postings(docs: DataFrame, only: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(term, doc_id, tf, len): one row for each distinct word of a document, ``len`` being the document's words. No shuffle."""
     return listed(counted(docs, only, id_col, text_col))

@@ -159,3 +159,37 @@ def test_stream(spark, tmp_path):
     index = load_stream_index(spark, str(tmp_path / "ix"))
     assert index.corpus.first()["n_docs"] == 3
     assert [r["doc_id"] for r in search.search_ranked(index, "rust", 5).collect()] == [2, 0]
+
+
+def _varints(*values):
+    out = bytearray()
+    for v in values:
+        while v > 127:
+            out.append(v & 127 | 128)
+            v >>= 7
+        out.append(v)
+    return bytes(out)
+
+
+@pytest.mark.parametrize("batch", [7, 100, 10_000])
+def test_encoded_bytes_over_batches(spark, monkeypatch, batch):
+    """Blocks that batches and pieces cut, wide gaps and counts, against bytes made one by one; rows in any order."""
+    monkeypatch.setattr(codec, "PIECE", 1000)
+    lists = {"a": [(3 * i, i % 3 + 1) for i in range(500)], "b": [(2**34 - 1, 200), (2**35 - 2, 2**21)], "é": [(i * 10**8, 127 + i) for i in range(130)], "z": [(1499, 1)]}
+    rows = [(t, d, tf) for t, entries in lists.items() for d, tf in entries]
+    random.Random(2).shuffle(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        blocks = codec.encode(codec.gaps(spark.createDataFrame(rows, "term string, doc_id long, tf int"))).collect()
+        made = spark.createDataFrame(blocks, "term string, block int, first_doc long, entries long, data binary")
+        decoded = sorted(map(tuple, codec.unpack(made.withColumn("own", F.col("block") * 2)).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    expected = {}
+    for t, entries in lists.items():
+        for k in range(0, len(entries), 64):
+            ids = [d for d, _ in entries[k : k + 64]]
+            gaps = [0, *(y - x for x, y in zip(ids, ids[1:]))]
+            expected[t, k // 64] = (ids[0], len(ids), b"".join(_varints(g, tf) for g, (_, tf) in zip(gaps, entries[k : k + 64])))
+    assert {(r["term"], r["block"]): (r["first_doc"], r["entries"], bytes(r["data"])) for r in blocks} == expected and len(blocks) == len(expected)
+    assert decoded == sorted((t, k // 64, k // 64 * 2, d, tf) for t, entries in lists.items() for k, (d, tf) in enumerate(entries))
