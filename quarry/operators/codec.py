@@ -112,17 +112,30 @@ def encode(gap_rows: DataFrame) -> DataFrame:
 def unpack(blocks: DataFrame) -> DataFrame:
     """(term, block, doc_id, tf) of encoded blocks, and further columns of theirs; each block is decoded on its own."""
     own = [c for c in blocks.columns if c not in ("first_doc", "entries", "data")]
-    digits = F.hex("data")
-    raw = F.transform(F.sequence(F.lit(0), F.length("data") - 1), lambda i: F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("long"))
-    rows = blocks.select(*own, "first_doc", raw.alias("b"))
-    rows = rows.select(*own, "first_doc", "b", F.filter(F.sequence(F.lit(0), F.size("b") - 1), lambda i: F.get("b", i) < 128).alias("ends"))
-    start = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get("ends", k - 1) + 1)
-    value = lambda e, k: F.aggregate(F.reverse(F.slice("b", start(k) + 1, e - start(k) + 1)), F.lit(0).cast("long"), lambda acc, x: F.shiftleft(acc, 7).bitwiseOR(x.bitwiseAND(F.lit(127).cast("long"))))
-    rows = rows.select(*own, "first_doc", F.transform("ends", value).alias("v"))
-    turn = lambda odd: F.filter("v", lambda x, i: i % 2 == odd)
-    rows = rows.select(*own, "first_doc", turn(0).alias("g"), turn(1).alias("t"))
-    entry = lambda x, i: F.struct((F.col("first_doc") + F.aggregate(F.slice("g", F.lit(1), i + 1), F.lit(0).cast("long"), lambda acc, y: acc + y)).alias("doc_id"), x.cast("int").alias("tf"))
-    return rows.select(*own, F.inline_outer(F.transform("t", entry)))  # outer, so that no filter on the size decodes everything twice
+    n_own = len(own)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            packed = b.column(n_own + 1).cast(pa.large_binary())
+            bounds = np.frombuffer(packed.buffers()[1], dtype=np.int64)[packed.offset : packed.offset + len(packed) + 1] if len(packed) else np.zeros(1, dtype=np.int64)
+            if bounds[-1] == bounds[0]:
+                continue
+            data = np.frombuffer(packed.buffers()[2], dtype=np.uint8)[bounds[0] : bounds[-1]]
+            ends = np.flatnonzero(data < 128)
+            starts = np.append(0, ends[:-1] + 1)
+            place = np.arange(len(data)) - np.repeat(starts, ends - starts + 1)
+            value = np.add.reduceat((data & 127).astype(np.int64) << 7 * place, starts)
+            gap, tf = value[0::2], value[1::2]
+            entries = np.diff(np.searchsorted(ends, bounds - bounds[0])) // 2
+            of, along = np.repeat(np.arange(len(entries)), entries), np.append(0, np.cumsum(gap))
+            doc = b.column(n_own).to_numpy()[of] + along[1:] - along[np.cumsum(entries) - entries][of]
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array(of)) for k in range(n_own)), pa.array(doc), pa.array(tf.astype(np.int32))], names=[*own, "doc_id", "tf"])
+
+    kinds = ", ".join(f"`{c}` {blocks.schema[c].dataType.simpleString()}" for c in own)
+    return blocks.select(*own, F.col("first_doc").cast("long"), "data").mapInArrow(run, f"{kinds}, doc_id long, tf int")
 
 
 def find(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
