@@ -17,15 +17,17 @@ SKIP_BYTES = 8
 PIECE, REACH = 65_536, 4_096
 
 
-def gaps(posts: DataFrame) -> DataFrame:
+def gaps(posts: DataFrame, parts: int | None = None) -> DataFrame:
     """(term, doc_id, tf, pos, block, gap): the gap to the document before within a block of BLOCK, 0 at its start.
 
-    Each (term, doc_id) once; no rows give no rows. Rows are sorted within pieces; only one row a piece is sorted by list.
+    Each (term, doc_id) once; no rows give no rows. Rows are sorted within pieces; only one row a piece is sorted by list. ``parts`` is into how many tasks
+    the pieces are dealt; without it Spark's settings decide, whose number doesn't grow with the rows.
     """
     rows = posts.select("term", "doc_id", "tf", F.floor(F.col("doc_id") / PIECE).alias("piece"))
     within, along = Window.partitionBy("term", "piece").orderBy("doc_id"), Window.partitionBy("term").orderBy("piece")
     pieces = rows.groupBy("term", "piece").agg(F.count("*").alias("n"), F.max("doc_id").alias("end"))
     pieces = pieces.select("term", "piece", (F.sum("n").over(along) - F.col("n")).alias("base"), F.lag("end").over(along).alias("before")).where("base > 0")
+    rows = rows.repartition(parts, "term", "piece") if parts else rows
     rows = rows.select("term", "piece", "doc_id", "tf", (F.row_number().over(within) - 1).alias("k"), F.lag("doc_id").over(within).alias("prior"))
     rows = rows.join(pieces, ["term", "piece"], "left")
     rows = rows.select("term", "doc_id", "tf", (F.coalesce("base", F.lit(0)) + F.col("k")).alias("pos"), F.coalesce("prior", "before").alias("prior"))

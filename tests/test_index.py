@@ -171,8 +171,8 @@ def _varints(*values):
     return bytes(out)
 
 
-@pytest.mark.parametrize("batch", [7, 100, 10_000])
-def test_encoded_bytes_over_batches(spark, monkeypatch, batch):
+@pytest.mark.parametrize("batch, parts", [(7, None), (100, 3), (10_000, 1)])
+def test_encoded_bytes_over_batches(spark, monkeypatch, batch, parts):
     """Blocks that batches and pieces cut, wide gaps and counts, against bytes made one by one; rows in any order."""
     monkeypatch.setattr(codec, "PIECE", 1000)
     lists = {"a": [(3 * i, i % 3 + 1) for i in range(500)], "b": [(2**34 - 1, 200), (2**35 - 2, 2**21)], "é": [(i * 10**8, 127 + i) for i in range(130)], "z": [(1499, 1)]}
@@ -180,7 +180,7 @@ def test_encoded_bytes_over_batches(spark, monkeypatch, batch):
     random.Random(2).shuffle(rows)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     try:
-        blocks = codec.encode(codec.gaps(spark.createDataFrame(rows, "term string, doc_id long, tf int"))).collect()
+        blocks = codec.encode(codec.gaps(spark.createDataFrame(rows, "term string, doc_id long, tf int"), parts)).collect()
         made = spark.createDataFrame(blocks, "term string, block int, first_doc long, entries long, data binary")
         decoded = sorted(map(tuple, codec.unpack(made.withColumn("own", F.col("block") * 2)).collect()))
     finally:
@@ -193,3 +193,4 @@ def test_encoded_bytes_over_batches(spark, monkeypatch, batch):
             expected[t, k // 64] = (ids[0], len(ids), b"".join(_varints(g, tf) for g, (_, tf) in zip(gaps, entries[k : k + 64])))
     assert {(r["term"], r["block"]): (r["first_doc"], r["entries"], bytes(r["data"])) for r in blocks} == expected and len(blocks) == len(expected)
     assert decoded == sorted((t, k // 64, k // 64 * 2, d, tf) for t, entries in lists.items() for k, (d, tf) in enumerate(entries))
+    assert codec.unpack(made.where("false")).collect() == []
