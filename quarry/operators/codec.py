@@ -20,17 +20,21 @@ PIECE, REACH = 65_536, 4_096
 def gaps(posts: DataFrame, parts: int | None = None) -> DataFrame:
     """(term, doc_id, tf, pos, block, gap): the gap to the document before within a block of BLOCK, 0 at its start.
 
-    Each (term, doc_id) once; no rows give no rows. Rows are sorted within pieces; only one row a piece is sorted by list. ``parts`` is into how many tasks
+    Each (term, doc_id) once, ``tf`` below 2 ** 31; no rows give no rows. Rows are sorted within pieces; only one row a piece is sorted by list. ``parts`` is into how many tasks
     the pieces are dealt; without it Spark's settings decide, whose number doesn't grow with the rows.
     """
-    rows = posts.select("term", "doc_id", "tf", F.floor(F.col("doc_id") / PIECE).alias("piece"))
-    within, along = Window.partitionBy("term", "piece").orderBy("doc_id"), Window.partitionBy("term").orderBy("piece")
-    pieces = rows.groupBy("term", "piece").agg(F.count("*").alias("n"), F.max("doc_id").alias("end"))
-    pieces = pieces.select("term", "piece", (F.sum("n").over(along) - F.col("n")).alias("base"), F.lag("end").over(along).alias("before")).where("base > 0")
-    rows = rows.repartition(parts, "term", "piece") if parts else rows
-    rows = rows.select("term", "piece", "doc_id", "tf", (F.row_number().over(within) - 1).alias("k"), F.lag("doc_id").over(within).alias("prior"))
+    piece = F.floor(F.col("doc_id") / PIECE)
+    # id within the piece and count in one number, as narrow rows are shuffled
+    rows = posts.select("term", piece.alias("piece"), F.shiftleft(F.col("doc_id") - piece * PIECE, 31).bitwiseOR(F.col("tf").cast("long")).alias("at"))
+    rows = rows.repartition(parts, "term", "piece") if parts else rows  # of the same columns below, so that one shuffle serves both
+    doc_id = lambda at: F.col("piece") * PIECE + F.shiftright(at, 31)
+    within, along = Window.partitionBy("term", "piece").orderBy("at"), Window.partitionBy("term").orderBy("piece")
+    pieces = rows.groupBy("term", "piece").agg(F.count("*").alias("n"), F.max("at").alias("top"))
+    pieces = pieces.select("term", "piece", (F.sum("n").over(along) - F.col("n")).alias("base"), F.lag(doc_id(F.col("top"))).over(along).alias("before")).where("base > 0")
+    rows = rows.select("term", "piece", "at", (F.row_number().over(within) - 1).alias("k"), doc_id(F.lag("at").over(within)).alias("prior"))
     rows = rows.join(pieces, ["term", "piece"], "left")
-    rows = rows.select("term", "doc_id", "tf", (F.coalesce("base", F.lit(0)) + F.col("k")).alias("pos"), F.coalesce("prior", "before").alias("prior"))
+    tf = F.col("at").bitwiseAND(F.lit(2**31 - 1)).cast(posts.schema["tf"].dataType)
+    rows = rows.select("term", doc_id(F.col("at")).alias("doc_id"), tf.alias("tf"), (F.coalesce("base", F.lit(0)) + F.col("k")).alias("pos"), F.coalesce("prior", "before").alias("prior"))
     first = F.col("pos") % BLOCK == 0
     return rows.select("term", "doc_id", "tf", "pos", F.floor(F.col("pos") / BLOCK).cast("int").alias("block"), F.when(first, F.lit(0)).otherwise(F.col("doc_id") - F.col("prior")).cast("long").alias("gap"))
 

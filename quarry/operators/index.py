@@ -39,7 +39,7 @@ def listed(rows: DataFrame) -> DataFrame:
 
 def save_counts(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, len, runs, words) of (doc_id, text), saved: what lists are made from, ``words`` being the distinct ones. No shuffle of rows."""
-    counted(spread(docs.select("doc_id", "text"))).select("doc_id", "len", "runs", F.size("runs").alias("words")).write.mode("overwrite").parquet(path)
+    counted(spread(docs.select("doc_id", "text"))).select("doc_id", "len", "runs", F.size("runs").alias("words")).write.mode("overwrite").option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
